@@ -1 +1 @@
-
+"""Kernels and solvers."""

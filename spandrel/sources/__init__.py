@@ -1 +1 @@
-
+"""Where matrices and vectors come from and go to."""

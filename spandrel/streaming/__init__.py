@@ -1 +1 @@
-
+"""Loops over tables: lineage cuts, checkpoints, logs."""
