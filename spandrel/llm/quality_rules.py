@@ -30,10 +30,10 @@ MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Share of a group's rows that the estimate rests on, rounds, and the probability below which distances are accepted.
-SHARE, STEPS, CUTOFF = 0.75, 5, 1 - 1e-7
+SHARE, STEPS, CUTOFF = 0.75, 5, 1 - 1e-5
 MIN_GROUP = 100
 #: Added to the variances: differences of that size in a transformed statistic are no evidence.
-FLOOR = (0.1, 0.06, 0.15, 0.35, 0.35, 0.35)
+FLOOR = (0.15, 0.08, 0.5, 0.25, 0.5, 0.25)
 P = len(FLOOR)
 
 
@@ -91,7 +91,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
 def _vector() -> list[Column]:
     """The transformed statistics, in the order of FLOOR."""
     n, chars, lines = (F.greatest(F.col(c).cast("double"), F.lit(1.0)) for c in ("n_words", "word_chars", "n_lines"))
-    return [F.log(n), F.log(chars / n), F.log(0.02 + F.col("n_repeat_words") / n), F.log(0.02 + F.col("n_symbols") / chars), F.log(0.05 + F.col("n_dup_lines") / lines), F.log(0.05 + F.col("n_upper") / chars)]
+    return [F.log(n), F.log(chars / n), F.log(0.1 + F.col("n_repeat_words") / n), F.log(0.02 + F.col("n_symbols") / chars), F.log(0.1 + F.col("n_dup_lines") / lines), F.log(0.05 + F.col("n_upper") / chars)]
 
 
 def _pairs() -> list[tuple[int, int]]:
