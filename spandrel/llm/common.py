@@ -44,9 +44,18 @@ def materialize(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    jvm.System.gc()  # so that the shuffle files behind the written rows are removed now and not some time
     return spark.read.schema(df.schema).parquet(where)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(c: Column | str) -> Column:
     """A-Z to lower case, everything else as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
