@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, table
+from .common import fresh, lower_ascii, materialize, table
 
 HOT_SHARE = 1000
 LOWEST = -(2**63)
@@ -72,20 +72,30 @@ def kept_text(text: Column, drop_bits: Column) -> Column:
     return F.when(drop_bits.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.filter(lines_of(text), lambda line, i: ~dropped(i)), "\n"))
 
 
+def bits_column(docs: DataFrame) -> str:
+    """Name of the bitmaps' column in what dedup_lines returns."""
+    return docs.columns[-1]
+
+
+def count_column(docs: DataFrame) -> str:
+    return docs.columns[-2]
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """The documents with `drop_bits` and `n_dropped` added by one join on (doc_id, hash of the text)."""
-    bitmaps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("n_dropped").alias("__n"), F.col("drop_bits").alias("__bits"))
-    return docs.join(bitmaps, (F.coalesce("doc_id", F.lit(LOWEST)) == F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left").drop("__d", "__t")
+    """The documents and two more columns, number and bitmap of the dropped lines (null: none), by one join on (doc_id, hash of the text)."""
+    d, t, n, bits = (fresh(docs, f"__{c}") for c in ("d", "t", "n", "bits"))
+    bitmaps = keep_bitmaps(docs, min_chars, min_docs).toDF(d, t, n, bits)
+    found = docs.join(bitmaps, (F.coalesce("doc_id", F.lit(LOWEST)) == F.col(d)) & (F.xxhash64("text") == F.col(t)), "left")
+    return found.select(*docs.columns, n, bits)
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs)
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id",
         F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
-        F.coalesce("__n", F.lit(0)).cast("long").alias("n_dropped"),
-        F.sha2(kept_text(F.col("text"), F.col("__bits")), 256).alias("kept_sha256"),
+        F.coalesce(count_column(out), F.lit(0)).cast("long").alias("n_dropped"),
+        F.sha2(kept_text(F.col("text"), F.col(bits_column(out))), 256).alias("kept_sha256"),
     )
 
 

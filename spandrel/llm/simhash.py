@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scan_words, table
+from .common import fresh, materialize, scan_words, table
 from .components import connected_components
 
 SEED = 42
@@ -220,8 +220,9 @@ def near_components(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
 
 def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """The documents without those of a component that has a smaller doc_id (rows that share the kept id all stay)."""
-    lost = near_components(docs, shingle, max_bits).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("__lost"), "left_anti")
+    name = fresh(docs, "__lost")
+    lost = near_components(docs, shingle, max_bits).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(lost, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
