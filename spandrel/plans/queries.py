@@ -246,7 +246,7 @@ vector_query("mvec_vscale", "(j - 31) * x", lambda v: vec.vscale(v, np.arange(64
 vector_query("mvec_add_mvec", "2 * (x * x) - 3 * x", lambda v: vec.axpby(2.0, vec.times_elementwise(1.0, v, v), -3.0, v))
 vector_query("mvec_vadd_mvec", "(j % 4) * (x * 2) + 0.5 * x", lambda v: vec.vaxpby(np.arange(64) % 4, vec.scale(v, 2.0), 0.5, v))
 vector_query("mvec_times_mvec_elemwise", "-2 * (x * x)", lambda v: vec.times_elementwise(-2.0, v, v))
-vector_query("mvec_single_precision", "CAST(x AS FLOAT)", vec.single)
+vector_query("mvec_single_precision", "CAST(CAST(x AS FLOAT) AS DOUBLE)", vec.single)
 for _name, _f in (("mvec_view_block", vec.view_block), ("mvec_get_block", vec.get_block)):
     query(f"WITH {E} SELECT i, CAST(j - 5 AS INT) AS j, round(x, 6) + 0.0 AS x FROM e WHERE j BETWEEN 5 AND 20", _name)(lambda spark, sf_dir, f=_f: long(f(embeddings(spark, sf_dir), 5, 20)))
 vector_query("mvec_set_block", "CASE WHEN j BETWEEN 10 AND 13 THEN 7.0 ELSE x END", lambda v: vec.set_block(v, vec.put_value(vec.view_block(v, 0, 3), 7.0), 10, 13))
