@@ -14,6 +14,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import ahocorasick
 import pyarrow as pa
@@ -30,7 +32,10 @@ MEMORY = 200_000
 
 class BPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.bytes = ranks, {i: b for b, i in ranks.items()}
+        self.ranks = ranks
+        self.bytes = [b""] * (max(ranks.values()) + 1)
+        for b, i in ranks.items():
+            self.bytes[i] = b
         self.split = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
         for b, i in ranks.items():
@@ -134,14 +139,11 @@ def encode(docs: DataFrame, file: str, pattern: str, with_ids: bool = True) -> D
             n, ids_sha, decoded_sha, kept = [], [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                ids: list[int] = []
-                digits = []
-                for p in bpe.split(text):
-                    got = bpe.pieces.get(p) or bpe.piece(p)
-                    ids += got[0]
-                    digits.append(got[1])
+                known, new = bpe.pieces.get, bpe.piece
+                got = [known(p) or new(p) for p in bpe.split(text)]
+                ids = list(chain.from_iterable(map(itemgetter(0), got)))
                 n.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(digits).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(" ".join(map(itemgetter(1), got)).encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 if with_ids:
                     kept.append(ids)
