@@ -339,7 +339,7 @@ def mvec_get_set_data(spark, sf_dir):
 def complex_dot(spark, sf_dir):
     x = grid(spark, N, 3)
     z = vec.combine(x, vec.scale(x, 2.0))
-    return spark.createDataFrame([(j, round(v.real, 6) + 0.0, round(v.imag, 6) + 0.0) for j, v in enumerate(vec.complex_dot(z, z))], "j int, re double, im double")
+    return spark.createDataFrame([(j, round(float(v.real), 6) + 0.0, round(float(v.imag), 6) + 0.0) for j, v in enumerate(vec.complex_dot(z, z))], "j int, re double, im double")
 
 
 @query("SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, CAST(3 * ((r + 2 * c) % 5 - 2) - ((c + 2 * r) % 5 - 2) AS DOUBLE) AS v FROM range(4) a(r), range(4) b(c)")

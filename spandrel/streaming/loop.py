@@ -25,9 +25,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows as they are now, computed once and stored reliably."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows as they are now, computed once and stored reliably.
+
+    A checkpointed frame keeps the estimated size and the constraints of the plan behind it.  A join multiplies sizes,
+    so over a loop these become numbers of millions of digits and planning takes longer than running; hence a new frame
+    over the stored rows.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    stored = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(stored.queryExecution().toRdd(), stored.schema(), False), spark)
 
 
 def cut_vector(v: BlockVector) -> BlockVector:
