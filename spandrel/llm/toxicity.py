@@ -30,6 +30,8 @@ DIMS = 1 << 18
 MAX_TRAIN_ROWS = 20_000
 #: Features seen in fewer training documents say nothing.
 MIN_DOCS = 6
+#: Standard deviations by which a feature must be commoner, or rarer, in some category.
+EVIDENCE = 4.0
 FOLDS = 3
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 
@@ -76,7 +78,13 @@ def best_cut(raw: np.ndarray, y: np.ndarray) -> float:
 
 def fit_chain(x: Sparse, labels: np.ndarray, names: list[str], folds: int = FOLDS, min_docs: int = MIN_DOCS) -> Chain:
     """labels: rows x categories of 0 and 1."""
-    used = np.bincount(x.idx, minlength=DIMS) >= min_docs
+    n = np.bincount(x.idx, minlength=DIMS)
+    used = np.zeros(DIMS, bool)
+    for y in labels.T:  # what goes with a category beyond chance; the rest would only add up to noise in long texts
+        p = np.clip(y.mean(), 1e-9, 1 - 1e-9)
+        hits = np.bincount(x.idx, y[x.row], minlength=DIMS)
+        used |= np.abs(hits - n * p) >= EVIDENCE * np.sqrt(np.maximum(n, 1) * p * (1 - p))
+    used &= n >= min_docs
     chain = Chain(names, used, [])
     x = chain.inputs(x)
     fold = np.random.default_rng(2).integers(0, folds, len(x))
