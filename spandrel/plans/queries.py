@@ -541,37 +541,38 @@ def _orthog(spark, sf_dir):
     return small(spark, vec.gram(both, both))
 
 
-_EV = f"2 - 2 / (1 + 1e-8) * cos(k * pi() / {_SMALL + 1})"
+_TINY = 24
+_EV = f"2 - 2 / (1 + 1e-8) * cos(k * pi() / {_TINY + 1})"
 
 
-@query(f"SELECT CAST(j AS INT) AS j, round({_EV}, 5) AS value FROM (VALUES (0, 1), (1, {_SMALL})) t(j, k)")
+@query(f"SELECT CAST(j AS INT) AS j, round({_EV}, 5) AS value FROM (VALUES (0, 1), (1, {_TINY})) t(j, k)")
 def simple_lanczos(spark, sf_dir):
-    low, high, _ = eig.lanczos(linop.wrap_matrix(toeplitz(spark, _SMALL).persisted()), _SMALL, 1e-9)
+    low, high, _ = eig.lanczos(linop.wrap_matrix(toeplitz(spark, _TINY).persisted()), _TINY, 1e-9)
     return numbers(spark, [low, high], 5)
 
 
 @query(f"SELECT CAST(k - 1 AS INT) AS j, round({_EV}, 5) AS value FROM range(1, 4) t(k)")
 def subspace_jada(spark, sf_dir):
-    o = eig.JadaOptions(numEigs=3, which=EigSort.SR, convTol=1e-7, blockSize=2, minBas=10, maxBas=20, innerSolvType=LinSolv.MINRES, innerSolvMaxIters=10)
-    return numbers(spark, eig.subspace_jada(linop.wrap_matrix(toeplitz(spark, _SMALL).persisted()), o).values, 5)
+    o = eig.JadaOptions(numEigs=3, which=EigSort.SR, convTol=1e-7, blockSize=2, minBas=8, maxBas=16, innerSolvType=LinSolv.MINRES, innerSolvMaxIters=10)
+    return numbers(spark, eig.subspace_jada(linop.wrap_matrix(toeplitz(spark, _TINY).persisted()), o).values, 5)
 
 
 @query(f"SELECT CAST(k - 1 AS INT) AS j, round({_EV}, 5) AS value FROM range(1, 3) t(k)")
 def lobpcg(spark, sf_dir):
-    return numbers(spark, eig.lobpcg(linop.wrap_matrix(toeplitz(spark, _SMALL).persisted()), 4, EigSort.SR, tol=1e-5, max_iter=60).values[:2], 5)
+    return numbers(spark, eig.lobpcg(linop.wrap_matrix(toeplitz(spark, _TINY).persisted()), 4, EigSort.SR, tol=1e-5, max_iter=40).values[:2], 5)
 
 
-@query(f"SELECT CAST(j AS INT) AS j, round({_EV}, 4) AS value FROM (VALUES (0, {_SMALL}), (1, {_SMALL - 1})) t(j, k)")
+@query(f"SELECT CAST(j AS INT) AS j, round({_EV}, 4) AS value FROM (VALUES (0, {_TINY}), (1, {_TINY - 1})) t(j, k)")
 def krylov_schur(spark, sf_dir):
-    r = eig.krylov_schur(linop.wrap_matrix(toeplitz(spark, _SMALL).persisted()), 2, EigSort.LR, basis=20, tol=1e-7)
+    r = eig.krylov_schur(linop.wrap_matrix(toeplitz(spark, _TINY).persisted()), 2, EigSort.LR, basis=16, tol=1e-6)
     return numbers(spark, np.real(r.values), 4)
 
 
 @query("SELECT CAST(0 AS INT) AS j, 0.0 AS value", "simple_arnoldi")
 def _arnoldi(spark, sf_dir):
     """Frobenius norm of A V - V H."""
-    a = toeplitz(spark, _SMALL).persisted()
-    v, h = eig.arnoldi(linop.wrap_matrix(a), 6, vec.create(spark, _SMALL, 1, 1.0))
+    a = toeplitz(spark, _TINY).persisted()
+    v, h = eig.arnoldi(linop.wrap_matrix(a), 6, vec.create(spark, _TINY, 1, 1.0))
     left = sp.spmv(a, vec.view_block(v, 0, 5))
     return numbers(spark, [vec.norm_f(vec.axpby(1.0, left, -1.0, vec.times_sdmat(1.0, v, SdMat(h))))])
 

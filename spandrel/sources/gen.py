@@ -338,6 +338,11 @@ def hubbard(spark: SparkSession, sites: int, fermions: int, t: float = 1.0, u: f
     return Matrix(m.df, n, n, MatSym.HERMITIAN)
 
 
+def _moved(a: int, b: int) -> Column:
+    """The numbers n of the sites after one particle went from a to b."""
+    return F.transform("n", lambda x, k: x + F.when(k == b, 1).when(k == a, -1).otherwise(0))
+
+
 def free_bosons(spark: SparkSession, sites: int, bosons: int, t: float = 1.0, periodic: bool = False) -> Matrix:
     """Bosons on a chain, as patterns of `bosons` ones among bosons + sites - 1 bits (zeros are walls between sites)."""
     bits = bosons + sites - 1
@@ -349,7 +354,7 @@ def free_bosons(spark: SparkSession, sites: int, bosons: int, t: float = 1.0, pe
     hops = []
     for p, q in _bonds(sites, periodic):
         for a, b in ((p, q), (q, p)):
-            moved = F.transform("n", lambda x, k, a=a, b=b: x + F.when(k == b, 1).when(k == a, -1).otherwise(0))
+            moved = _moved(a, b)
             pattern = F.conv(F.array_join(F.transform(moved, lambda x: F.repeat(F.lit("1"), x)), "0"), 2, 10).cast("long")
             hops.append((F.get("n", F.lit(a)) > 0, rank(pattern, bits), F.sqrt(F.get("n", F.lit(a)) * (F.get("n", F.lit(b)) + 1.0)) * float(-t)))
     m = from_entries(spark, n, lambda i: hops, rows=rows)
