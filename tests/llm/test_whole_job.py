@@ -4,6 +4,7 @@ import collections
 import random
 
 import corpus_pipeline
+from spandrel.llm import passages
 
 from .conftest import frame, make_text
 
@@ -54,3 +55,20 @@ def test_pipeline_drops_near_copies_from_similarity_0_8(spark):
     want = {rows[k][0] for k in range(len(rows)) if find(k) == k}
     got = [r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, frame(spark, rows), "").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_passages_recall_of_planted_near_duplicates(spark):
+    rng = random.Random(17)
+    rows, planted = [], []
+    for i in range(1500):
+        n = rng.choice((55, 60, 70, 110, 120))
+        w = make_text(rng, n).split()
+        e = list(w)
+        for k in (n // 2,) if n < 100 else (n // 3, 2 * n // 3):
+            e[k] = f"edit{i}x{k}"
+        planted.append(jaccard(shingles(" ".join(w)), shingles(" ".join(e))))
+        rows += [(j, " ".join([make_text(rng, 40), *x, make_text(rng, 40)])) for j, x in ((i, w), (10000 + i, e))]
+    assert 0.8 <= min(planted) and max(planted) < 0.9
+    got = {(r["doc_id"], r["other_id"]) for r in passages.repeated_passages(frame(spark, rows)).collect()}
+    found = sum((i, 10000 + i) in got or (10000 + i, i) in got for i in range(1500))
+    assert found >= 1495  # 1490 with four hash functions
