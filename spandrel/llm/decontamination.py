@@ -6,7 +6,7 @@ or more with training suffixes has its matches in one range of the array; those
 longest verbatim match with its place.  Shards need nothing of each other, so there is no shuffle of documents.
 
 Items reach the shards in blocks of at most `ITEM_BLOCK_BYTES` of text: one block is the usual case; a larger benchmark
-takes one pass over the documents for each block and one aggregation by document.
+takes one pass over the documents for each block and one aggregation by row; rows are numbered and written for that.
 
 Defined results: null text has no words; items without words match nothing; a null item_id is not counted or listed,
 though its words are hit; rows of equal doc_id are reported one by one; other columns are ignored.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scan_words, table
+from .common import materialize, scan_words, table
 
 WINDOW = 10
 ITEM_BLOCK_BYTES = 16_000_000
@@ -38,24 +38,26 @@ class Items:
     item: np.ndarray  # item of each word
     first: np.ndarray  # first word of each item
     ids: list[int | None]
-    suffix: np.ndarray  # word at which a distinct window begins
+    suffix: np.ndarray  # word at which a distinct window begins first
     size: np.ndarray  # words of that window
     holders: list[list[int]]  # items that hold it
+    places: list[list[int]]  # all words at which it begins
 
     @classmethod
     def of(cls, ids: list, texts: list, window: int) -> Items:
         w = [x for x in scan_words(pa.array(texts, pa.string()), "alnum", 1 << 62)][0] if texts else None
         if w is None or not len(w.hash):
             z = np.zeros(0, np.int64)
-            return cls(np.zeros(0, np.uint64), z, np.zeros(1, np.int64), list(ids), z, z, [])
+            return cls(np.zeros(0, np.uint64), z, np.zeros(1, np.int64), list(ids), z, z, [], [])
         first, windows = w.first, {}
         for i in range(len(ids)):
             a, b = int(first[i]), int(first[i + 1])
             size = min(window, b - a)
             for p in range(a, b - size + 1) if size else ():
-                at = windows.setdefault(w.hash[p : p + size].tobytes(), (p, size, set()))
+                at = windows.setdefault(w.hash[p : p + size].tobytes(), (p, size, set(), []))
                 at[2].add(i)
-        return cls(w.hash, w.row, first, list(ids), np.array([x[0] for x in windows.values()], np.int64), np.array([x[1] for x in windows.values()], np.int64), [sorted(x[2]) for x in windows.values()])
+                at[3].append(p)
+        return cls(w.hash, w.row, first, list(ids), np.array([x[0] for x in windows.values()], np.int64), np.array([x[1] for x in windows.values()], np.int64), [sorted(x[2]) for x in windows.values()], [x[3] for x in windows.values()])
 
 
 def suffix_array(ranks: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -139,30 +141,38 @@ def match_shard(word: np.ndarray, row: np.ndarray, n_rows: int, items: Items, wi
     r = row[begin]
     for x, y in np.unique(np.stack([r, q[of]]), axis=1).T.tolist():
         found[x].update(items.holders[y])
-    # how far each match goes on, all together, a step for each further word
+    # how far each match goes on from any place of its window, all together, a step for each further word
     length, source = size.copy(), items.suffix[q][of]
-    end_of_item = items.first[items.item[source] + 1]
-    live = np.arange(len(begin))
-    while len(live):
-        live = live[source[live] + length[live] < end_of_item[live]]
-        same = ranks[start[live] + length[live]] == local[source[live] + length[live]]
-        live = live[same]
-        length[live] += 1
+    places = [items.places[x] for x in q.tolist()]
+    count = np.array([len(x) for x in places])
+    some, at_of = np.arange(len(q)), np.zeros(len(q), np.int64)
+    left = np.arange(len(of))
+    for k in range(int(count.max())):  # the k-th place of every window that has so many
+        some, left = some[count[some] > k], left[count[of[left]] > k]
+        at_of[some] = [places[x][k] for x in some.tolist()]
+        at, begins, own = at_of[of[left]], start[left], size[left]
+        end_of_item, live = items.first[items.item[at] + 1], np.arange(len(left))
+        while len(live):
+            live = live[at[live] + own[live] < end_of_item[live]]
+            live = live[ranks[begins[live] + own[live]] == local[at[live] + own[live]]]
+            own[live] += 1
+        longer = own > length[left]
+        length[left[longer]], source[left[longer]] = own[longer], at[longer]
     best = np.lexsort((begin, -length, r))
     head = best[np.concatenate([[True], r[best][1:] != r[best][:-1]])]
     longest[r[head]] = np.stack([length[head], begin[head], items.item[source[head]]], axis=1)
     return hit, found, longest
 
 
-SCHEMA = "doc_id long, n_words long, hit array<int>, items array<long>, longest long, longest_at long, longest_item long"
+SCHEMA = "row long, doc_id long, n_words long, hit array<int>, items array<long>, longest long, longest_at long, longest_item long"
 
 
 def matches(docs: DataFrame, items: Items, window: int = WINDOW) -> DataFrame:
-    """Per document: n_words, the positions of hit words, the items, and the longest match with its place and item."""
+    """Per row of docs (row, doc_id, text): n_words, the positions of hit words, the items, and the longest match with its place and item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in scan_words(batch.column(1), "alnum"):
+            for w in scan_words(batch.column(2), "alnum"):
                 hit, found, longest = match_shard(w.hash, w.row, w.n_rows, items, window)
                 first = w.first
                 n = np.diff(first)
@@ -172,9 +182,9 @@ def matches(docs: DataFrame, items: Items, window: int = WINDOW) -> DataFrame:
                 place = longest[:, 1] - np.where(some, first[:-1], 0)
                 ids = [items.ids[x] if y else None for x, y in zip(longest[:, 2].tolist(), some.tolist(), strict=True)]
                 named = [sorted({items.ids[i] for i in s} - {None}) for s in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, w.n_rows), pa.array(n, pa.int64()), hits, pa.array(named, pa.list_(pa.int64())), pa.array(longest[:, 0]), pa.array(np.where(some, place, -1)), pa.array(ids, pa.int64())], names=[f.split()[0] for f in SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, w.n_rows), batch.column(1).slice(w.lo, w.n_rows), pa.array(n, pa.int64()), hits, pa.array(named, pa.list_(pa.int64())), pa.array(longest[:, 0]), pa.array(np.where(some, place, -1)), pa.array(ids, pa.int64())], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select("row", "doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def item_blocks(benchmark: DataFrame, window: int, limit: int = ITEM_BLOCK_BYTES) -> Iterator[Items]:
@@ -195,15 +205,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     """One row per document with n_words, n_hit, items, longest match; over several blocks the words hit are united."""
     if window > DEPTH:
         raise ValueError(f"suffixes are sorted by {DEPTH} words")
-    parts = [matches(docs, b, window) for b in item_blocks(benchmark, window, limit)] or [matches(docs, Items.of([], [], window), window)]
-    if len(parts) == 1:
-        return parts[0].withColumn("n_hit", F.size("hit").cast("long"))
-    # the same pass for each block: a row is known by its id and its words, and blocks are united by document
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks = item_blocks(benchmark, window, limit)
+    first, second = next(blocks, None) or Items.of([], [], window), next(blocks, None)
+    if second is None:
+        return matches(rows, first, window).drop("row").withColumn("n_hit", F.size("hit").cast("long"))
+    # the same pass for each block over rows whose numbers are written down, and blocks are united by row
+    rows = materialize(rows)
+    out = matches(rows, first, window).unionByName(matches(rows, second, window))
+    for b in blocks:
+        out = out.unionByName(matches(rows, b, window))
     best = F.max_by(F.struct("longest", "longest_at", "longest_item"), F.col("longest"))
-    out = out.groupBy("doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), best.alias("b"))
+    out = out.groupBy("row", "doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), best.alias("b"))
     return out.select("doc_id", "n_words", "hit", "items", "b.*", F.size("hit").cast("long").alias("n_hit"))
 
 

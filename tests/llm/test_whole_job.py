@@ -4,9 +4,10 @@ import collections
 import random
 
 import corpus_pipeline
-from spandrel.llm import passages
+from spandrel.llm import decontamination, passages
 
 from .conftest import frame, make_text
+from .test_text_operators import brute_hits
 
 
 def shingles(t, n=5):
@@ -72,3 +73,15 @@ def test_passages_recall_of_planted_near_duplicates(spark):
     got = {(r["doc_id"], r["other_id"]) for r in passages.repeated_passages(frame(spark, rows)).collect()}
     found = sum((i, 10000 + i) in got or (10000 + i, i) in got for i in range(1500))
     assert found >= 1495  # 1490 with four hash functions
+
+
+def test_decontamination_keeps_rows_apart_over_several_blocks(spark):
+    rng = random.Random(5)
+    a, b = make_text(rng, 30), make_text(rng, 30)
+    rows = [(1, a), (1, b), (1, a), (2, a), (None, a), (None, b), (None, make_text(rng, 30)), (None, None), (None, None), (3, "")]
+    items = [(7, " ".join(a.split()[:12])), (8, " ".join(b.split()[5:20])), (9, " ".join(a.split()[:25]))]
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    for limit in (16_000_000, 10):
+        got = decontamination.contamination(frame(spark, rows), bench, limit=limit).collect()
+        assert collections.Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(sorted(r["items"]))) for r in got) == brute_hits(rows, items)
+        assert {(r["longest"], r["longest_item"]) for r in got if 9 in r["items"]} == {(25, 9)}
