@@ -32,8 +32,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Share of a group's rows that the estimate rests on, rounds, and the probability below which distances are accepted.
 SHARE, STEPS, CUTOFF = 0.75, 5, 1 - 1e-5
 MIN_GROUP = 100
-#: Added to the variances: differences of that size in a transformed statistic are no evidence.
-FLOOR = (0.15, 0.08, 0.5, 0.25, 0.5, 0.25)
+#: Added to the variances: differences of that size in a transformed statistic are no evidence.  Those of repeated words
+#: and duplicate lines are small enough that shares of nearly a half exceed the cutoff alone where a group has none.
+FLOOR = (0.15, 0.08, 0.25, 0.25, 0.25, 0.25)
 P = len(FLOOR)
 
 

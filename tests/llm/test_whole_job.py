@@ -4,7 +4,7 @@ import collections
 import random
 
 import corpus_pipeline
-from spandrel.llm import decontamination, passages
+from spandrel.llm import decontamination, passages, quality_rules
 
 from .conftest import frame, make_text
 from .test_text_operators import brute_hits
@@ -85,3 +85,20 @@ def test_decontamination_keeps_rows_apart_over_several_blocks(spark):
         got = decontamination.contamination(frame(spark, rows), bench, limit=limit).collect()
         assert collections.Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(sorted(r["items"]))) for r in got) == brute_hits(rows, items)
         assert {(r["longest"], r["longest_item"]) for r in got if 9 in r["items"]} == {(25, 9)}
+
+
+def test_repetition_alone_rejects_a_text(spark):
+    rng = random.Random(23)
+
+    def lines(w):
+        return [" ".join(w[k : k + 10]) for k in range(0, len(w), 10)]
+
+    rows = [(i, "\n".join(lines(make_text(rng, rng.randint(200, 400)).split()))) for i in range(200)]
+    block = make_text(rng, 72).split()
+    rows.append((1000, "\n".join(lines(block + block + make_text(rng, 156).split()))))  # 48 % repeated words
+    rows.append((1001, "\nterms\n".join(lines(make_text(rng, 300).split()))))  # 28 of 59 lines
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.quality(docs).collect()}
+    assert not got[1000]["base_failed"] and got[1000]["n_dup_lines"] == 0 and not got[1000]["kept"]
+    assert not got[1001]["base_failed"] and got[1001]["n_repeat_words"] == 0 and not got[1001]["kept"]
+    assert all(got[i]["kept"] for i in range(200))
