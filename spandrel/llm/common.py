@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder in `spark.checkpoint.dir`; a temporary one only where that is unset (tests)."""
+    """The shared folder in `spark.checkpoint.dir`; a temporary one only where that is unset on a single machine (tests)."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="ckpt")
     spark.sparkContext.setCheckpointDir(where)
     return jsc.getCheckpointDir().get()
 
@@ -36,15 +41,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Lets Spark remove the shuffle files of a finished write, whose rows are in the written table.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet into the shared checkpoint folder and read them back (deleted when the session's JVM ends)."""
     spark = df.sparkSession
     where = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(where)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(where)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    jvm.System.gc()  # so that the shuffle files behind the written rows are removed now and not some time
     return spark.read.schema(df.schema).parquet(where)
 
 
@@ -76,7 +88,10 @@ _ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 WORD_BYTES = {"space": _SPACE, "alnum": _ALNUM}
 
 _PRIME = 0x9E3779B97F4A7C15
-_powers = np.ones(1, np.uint64)
+#: The lowest 0 to 8 bytes of a 64-bit number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are hashed whole by XXH64, one at a time.
+LONG_WORD = 64
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -86,13 +101,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        steps = np.full(max(n, 2 * len(_powers)), _PRIME, np.uint64)
-        steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-    return _powers
+def eight_bytes(b: np.ndarray) -> np.ndarray:
+    """For each place (and the end) the eight bytes from there on, as one number; zeros after the end."""
+    padded = np.zeros(len(b) + 8, np.uint8)
+    padded[: len(b)] = b
+    return np.ndarray((len(b) + 1,), "<u8", padded, strides=(1,))
+
+
+def word_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of every word b[start:end]: eight bytes are mixed in after another, so equal hashes follow no pattern."""
+    length = end - start
+    h = mix64((length.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+    eight = eight_bytes(b)
+    live = np.flatnonzero(length <= LONG_WORD)
+    at, left = start[live], length[live]
+    while len(live):
+        h[live] = mix64(h[live] * np.uint64(_PRIME) + (eight[at] & _LOW[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        h[i] ^= np.uint64(xxhash.xxh64_intdigest(b[start[i] : end[i]], int(length[i])))
+    return h
 
 
 @dataclass
@@ -156,17 +185,7 @@ def scan_words(col: pa.Array, kind: str = "space", limit: int = SLICE_BYTES) ->
             before[inner] = False
             after[inner - 1] = False
         start, end = np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
-        length = end - start
-        inside = np.flatnonzero(w)
-        if len(start):
-            first = np.zeros(len(start), np.int64)
-            np.cumsum(length[:-1], out=first[1:])
-            at = inside - np.repeat(start, length)
-            h = np.add.reduceat((b[inside].astype(np.uint64) + np.uint64(1)) * powers(int(length.max()))[at], first)
-            h = mix64(h + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        else:
-            h = np.zeros(0, np.uint64)
-        yield Words(lo, hi, b, off, start, end, np.searchsorted(off, start, "right") - 1, h)
+        yield Words(lo, hi, b, off, start, end, np.searchsorted(off, start, "right") - 1, word_hashes(b, start, end))
 
 
 def gram_hash(h: np.ndarray, n: int) -> np.ndarray:

@@ -5,11 +5,15 @@ suffixes, and every suffix of every test item is binary-searched among them.  A
 or more with training suffixes has its matches in one range of the array; those give the hit words, the items, and the
 longest verbatim match with its place.  Shards need nothing of each other, so there is no shuffle of documents.
 
-Items reach the shards in blocks of at most `ITEM_BLOCK_BYTES` of text: one block is the usual case; a larger benchmark
-takes one pass over the documents for each block and one aggregation by row; rows are numbered and written for that.
+Words meet by 64-bit hashes; every match is then compared byte by byte, so a hash that two words share hits nothing.
 
-Defined results: null text has no words; items without words match nothing; a null item_id is not counted or listed,
-though its words are hit; rows of equal doc_id are reported one by one; other columns are ignored.
+Items reach the shards in blocks of at most `ITEM_BLOCK_BYTES` of text, one after another: one block is the usual case;
+a larger benchmark takes one pass over the documents for each block, whose hits are written, and one aggregation by
+row; rows are numbered and written for that.  The driver holds one block at a time.
+
+Defined results: null or empty text has no words; items without words match nothing; a null item_id is not counted or
+listed, though its words are hit; rows of equal or null doc_id are reported one by one; of equally long matches the
+first is named; other columns, whatever their names, are ignored; a very long text is a shard of its own.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scan_words, table
+from .common import Words, materialize, scan_words, table
 
 WINDOW = 10
 ITEM_BLOCK_BYTES = 16_000_000
@@ -42,13 +46,16 @@ class Items:
     size: np.ndarray  # words of that window
     holders: list[list[int]]  # items that hold it
     places: list[list[int]]  # all words at which it begins
+    data: np.ndarray  # bytes of all items in lower case, and where the words are
+    start: np.ndarray
+    end: np.ndarray
 
     @classmethod
     def of(cls, ids: list, texts: list, window: int) -> Items:
         w = [x for x in scan_words(pa.array(texts, pa.string()), "alnum", 1 << 62)][0] if texts else None
         if w is None or not len(w.hash):
             z = np.zeros(0, np.int64)
-            return cls(np.zeros(0, np.uint64), z, np.zeros(1, np.int64), list(ids), z, z, [], [])
+            return cls(np.zeros(0, np.uint64), z, np.zeros(1, np.int64), list(ids), z, z, [], [], np.zeros(0, np.uint8), z, z)
         first, windows = w.first, {}
         for i in range(len(ids)):
             a, b = int(first[i]), int(first[i + 1])
@@ -57,7 +64,7 @@ class Items:
                 at = windows.setdefault(w.hash[p : p + size].tobytes(), (p, size, set(), []))
                 at[2].add(i)
                 at[3].append(p)
-        return cls(w.hash, w.row, first, list(ids), np.array([x[0] for x in windows.values()], np.int64), np.array([x[1] for x in windows.values()], np.int64), [sorted(x[2]) for x in windows.values()], [x[3] for x in windows.values()])
+        return cls(w.hash, w.row, first, list(ids), np.array([x[0] for x in windows.values()], np.int64), np.array([x[1] for x in windows.values()], np.int64), [sorted(x[2]) for x in windows.values()], [x[3] for x in windows.values()], w.data, w.start, w.end)
 
 
 def suffix_array(ranks: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -103,8 +110,27 @@ def search(ranks: np.ndarray, order: np.ndarray, queries: np.ndarray, sizes: np.
     return bound(False), bound(True)
 
 
-def match_shard(word: np.ndarray, row: np.ndarray, n_rows: int, items: Items, window: int) -> tuple[np.ndarray, list[set[int]], np.ndarray]:
+def same_words(w: Words, begin: np.ndarray, items: Items, suffix: np.ndarray, size: np.ndarray, step: int = 20_000) -> np.ndarray:
+    """Whether the size[i] words from begin[i] on of a shard are, byte by byte, those from suffix[i] on of the items."""
+    out = np.ones(len(begin), bool)
+    for a in range(0, len(begin), step):
+        n = size[a : a + step]
+        of = np.repeat(np.arange(len(n)), n)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        x, y = begin[a : a + step][of] + k, suffix[a : a + step][of] + k
+        length = w.end[x] - w.start[x]
+        bad = length != items.end[y] - items.start[y]
+        length = np.where(bad, 0, length)
+        of_byte = np.repeat(np.arange(len(x)), length)
+        j = np.arange(len(of_byte)) - np.repeat(np.cumsum(length) - length, length)
+        bad[of_byte[w.data[w.start[x][of_byte] + j] != items.data[items.start[y][of_byte] + j]]] = True
+        out[a : a + step] = np.bincount(of, bad, minlength=len(n)) == 0
+    return out
+
+
+def match_shard(w: Words, items: Items) -> tuple[np.ndarray, list[set[int]], np.ndarray]:
     """Of one shard: which words are hit, the items of each row, and per row its longest match (words, first word, item)."""
+    word, row, n_rows = w.hash, w.row, w.n_rows
     hit, found = np.zeros(len(word), bool), [set() for _ in range(n_rows)]
     longest = np.zeros((n_rows, 3), np.int64)
     if not len(word) or not len(items.suffix):
@@ -134,6 +160,10 @@ def match_shard(word: np.ndarray, row: np.ndarray, n_rows: int, items: Items, wi
     of = np.repeat(np.arange(len(q)), n)
     start = order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))]
     begin, size = back[start], items.size[q][of]
+    real = same_words(w, begin, items, items.suffix[q][of], size)
+    of, start, begin, size = of[real], start[real], begin[real], size[real]
+    if not len(of):
+        return hit, found, longest
     edge = np.zeros(len(word) + 1, np.int64)
     np.add.at(edge, begin, 1)
     np.add.at(edge, begin + size, -1)
@@ -167,13 +197,13 @@ def match_shard(word: np.ndarray, row: np.ndarray, n_rows: int, items: Items, wi
 SCHEMA = "row long, doc_id long, n_words long, hit array<int>, items array<long>, longest long, longest_at long, longest_item long"
 
 
-def matches(docs: DataFrame, items: Items, window: int = WINDOW) -> DataFrame:
+def matches(docs: DataFrame, items: Items) -> DataFrame:
     """Per row of docs (row, doc_id, text): n_words, the positions of hit words, the items, and the longest match with its place and item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in scan_words(batch.column(2), "alnum"):
-                hit, found, longest = match_shard(w.hash, w.row, w.n_rows, items, window)
+                hit, found, longest = match_shard(w, items)
                 first = w.first
                 n = np.diff(first)
                 at = np.flatnonzero(hit)
@@ -207,14 +237,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
         raise ValueError(f"suffixes are sorted by {DEPTH} words")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = item_blocks(benchmark, window, limit)
-    first, second = next(blocks, None) or Items.of([], [], window), next(blocks, None)
-    if second is None:
-        return matches(rows, first, window).drop("row").withColumn("n_hit", F.size("hit").cast("long"))
+    block, later = next(blocks, None) or Items.of([], [], window), next(blocks, None)
+    if later is None:
+        return matches(rows, block).drop("row").withColumn("n_hit", F.size("hit").cast("long"))
     # the same pass for each block over rows whose numbers are written down, and blocks are united by row
     rows = materialize(rows)
-    out = matches(rows, first, window).unionByName(matches(rows, second, window))
-    for b in blocks:
-        out = out.unionByName(matches(rows, b, window))
+    out = materialize(matches(rows, block))
+    while later is not None:
+        out, later = out.unionByName(materialize(matches(rows, later))), next(blocks, None)
     best = F.max_by(F.struct("longest", "longest_at", "longest_item"), F.col("longest"))
     out = out.groupBy("row", "doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), best.alias("b"))
     return out.select("doc_id", "n_words", "hit", "items", "b.*", F.size("hit").cast("long").alias("n_hit"))
@@ -223,17 +253,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without those that hold a window of a test item, in one pass without a shuffle of the texts.
 
-    For a benchmark of several blocks, one filtering pass for each block.
+    For a benchmark of several blocks, one filtering pass for each block, the rows between written down.
     """
     schema = docs.schema
     at = schema.fieldNames().index("text")
-    for items in item_blocks(benchmark, window):
+    for k, items in enumerate(item_blocks(benchmark, window)):
+        docs = materialize(docs) if k else docs
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for w in scan_words(batch.column(at), "alnum"):
-                    hit, _, _ = match_shard(w.hash, w.row, w.n_rows, items, window)
+                    hit, _, _ = match_shard(w, items)
                     clean[w.lo + w.row[hit]] = False
                 yield batch.filter(pa.array(clean))
 
