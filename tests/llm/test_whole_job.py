@@ -4,7 +4,7 @@ import collections
 import random
 
 import corpus_pipeline
-from spandrel.llm import decontamination, passages, quality_rules
+from spandrel.llm import decontamination, near_copies, passages, quality_rules
 
 from .conftest import frame, make_text
 from .test_text_operators import brute_hits
@@ -102,3 +102,27 @@ def test_repetition_alone_rejects_a_text(spark):
     assert not got[1000]["base_failed"] and got[1000]["n_dup_lines"] == 0 and not got[1000]["kept"]
     assert not got[1001]["base_failed"] and got[1001]["n_repeat_words"] == 0 and not got[1001]["kept"]
     assert all(got[i]["kept"] for i in range(200))
+
+
+def test_near_copies_of_a_group_without_an_original(spark):
+    """Edited copies of a text that isn't there: some alike, most not; the prefix filter finds what representatives miss."""
+    rng = random.Random(29)
+    base = make_text(rng, 150)
+    rows = [(i, edited(rng, base, rng.randint(2, 12))) for i in range(250)]
+    sets = [shingles(t) for _, t in rows]
+    links = [(a, b) for a in range(250) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8]
+    root = list(range(250))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_components(frame(spark, rows)).collect()}
+    assert got == {i: find(i) for i in range(250)} and len(set(got.values())) > 1
+    tokens = [(i, i % 3, sorted(hash(x) % 2**31 for x in s)) for i, s in enumerate(sets)]
+    pairs = {frozenset((r["e"], r["o"])) for r in near_copies.prefix_pairs(spark.createDataFrame(tokens, "e long, root long, s array<int>")).collect()}
+    assert {frozenset(x) for x in links if x[0] % 3 != x[1] % 3} <= pairs and len(pairs) < 250 * 249 / 4
