@@ -17,9 +17,9 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -29,24 +29,24 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Pieces that a worker remembers in each of two generations; a used piece of the older one moves to the younger.
-MEMORY = 300_000
+MEMORY = 200_000
 #: Bytes of the longest piece that is remembered.
 PIECE_BYTES = 64
 NEVER = 1 << 60
 
 
 class Pieces(dict):
-    """Piece to (number of ids, the ids in decimal, the bytes decoded from them, the ids), made when first asked for."""
+    """Piece to (number of ids, the ids in decimal, the bytes decoded from them), made when first asked for."""
 
     def __init__(self, bpe: BPE):
         super().__init__()
         self.bpe, self.older = bpe, {}
 
-    def __missing__(self, text: str) -> tuple[int, str, bytes, tuple[int, ...]]:
+    def __missing__(self, text: str) -> tuple[int, str, bytes]:
         got = self.older.get(text)
         if got is None:
-            ids = tuple(self.bpe.encode_piece(text.encode()))
-            got = len(ids), " ".join(map(str, ids)), self.bpe.decode(ids), ids
+            ids = self.bpe.encode_piece(text.encode())
+            got = len(ids), " ".join(map(str, ids)), self.bpe.decode(ids)
             if len(text) > PIECE_BYTES:
                 return got
         if len(self) >= MEMORY:
@@ -147,9 +147,9 @@ class BPE:
         return taken
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.split(text) for i in self.pieces[p][3]]
+        return [int(i) for p in self.split(text) for i in self.pieces[p][1].split()]
 
-    def decode(self, ids: list[int] | tuple[int, ...]) -> bytes:
+    def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
@@ -179,12 +179,13 @@ def encode(docs: DataFrame, file: str, pattern: str, with_ids: bool = True) -> D
         for batch in batches:
             n, ids_sha, decoded_sha, kept = [], [], [], []
             for text in batch.column(1).to_pylist():
-                sizes, digits, decoded, ids = zip(*map(bpe.pieces.__getitem__, bpe.split(text)), strict=True) if text else ((), (), (), ())
+                sizes, digits, decoded = zip(*map(bpe.pieces.__getitem__, bpe.split(text)), strict=True) if text else ((), (), ())
                 n.append(sum(sizes))
-                ids_sha.append(hashlib.sha256(" ".join(digits).encode()).hexdigest())
+                ids = " ".join(digits)
+                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(b"".join(decoded)).hexdigest())
                 if with_ids:
-                    kept.append(list(chain.from_iterable(ids)))
+                    kept.append(np.array(ids.split(), np.int32))
             arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

@@ -327,26 +327,100 @@ def test_language_model_base_and_scores(spark, docs, base_rows, no_docs):
     assert language_model.language_model(no_docs, file, pattern).count() == 0
 
 
+def tiny_model(rng, n_ids=30):
+    classes = rng.integers(0, language_model.CLASSES, n_ids)
+    classes[:10] = rng.integers(0, language_model.BEGINNERS, 10)
+    mass = np.bincount(classes, minlength=language_model.CLASSES) + 0.5
+    share = np.log10(1 / np.bincount(classes, minlength=language_model.CLASSES)[classes])
+    return language_model.Attention(language_model.first_weights(rng, mass), rng.standard_normal((n_ids, language_model.WIDTH)).astype(np.float32), classes, share)
+
+
 def test_attention_scores_each_id_once_and_has_right_gradients():
     rng = np.random.default_rng(0)
     start = np.array([0, 2, 40, 140])
     row, at = language_model.cut_windows(start)
     ids = rng.integers(0, 30, 140).astype(np.int32)
-    _, _, _, wanted = language_model.window_batch(ids, start, row, at)
-    assert wanted.sum() == 140 - 3
-    m = language_model.tiny_model(rng)
-    m.weights = {k: v.astype(np.float64) * 0.5 for k, v in m.weights.items()}  # larger ones meet the floor of the logarithm
-    x, there, y, wanted = language_model.window_batch(ids, start, row, at)
-    g, loss = m.gradients(x, there, y, wanted)
+    x, there, ahead, wanted = language_model.window_batch(ids, start, row, at)
+    assert sorted(ahead[wanted].tolist()) == [k for k in range(140) if k not in start]
+    m = tiny_model(rng)
+    m.weights = {k: v.astype(np.float64) for k, v in m.weights.items()}
+    g, loss, n = m.gradients(x, there, ids[ahead], wanted)
+    assert n == 137
     for name, p in m.weights.items():
-        k = np.unravel_index(rng.integers(p.size), p.shape)
-        old = p[k]
-        p[k] = old + 1e-5
-        up = m.gradients(x, there, y, wanted)[1]
-        p[k] = old - 1e-5
-        down = m.gradients(x, there, y, wanted)[1]
-        p[k] = old
-        assert abs((up - down) / 2e-5 - g[name][k]) < 1e-4 + 1e-2 * abs(g[name][k]), name
+        for _ in range(3):
+            k = np.unravel_index(rng.integers(p.size), p.shape)
+            old = p[k]
+            p[k] = old + 1e-4
+            up = m.gradients(x, there, ids[ahead], wanted)[1]
+            p[k] = old - 1e-4
+            down = m.gradients(x, there, ids[ahead], wanted)[1]
+            p[k] = old
+            assert abs((up - down) / 2e-4 - g[name][k]) < 2e-3 + 1e-2 * abs(g[name][k]), name
+
+
+def plain_class_probabilities(m, ids, k, first):
+    """Of the id after ids[first..k], without batches or tables: context of the window that scores place k + 1."""
+    p, w, c = m.weights, language_model.WIDTH, language_model.CONTEXT
+    window = first + (k - first) // language_model.STEP * language_model.STEP
+    seen = range(max(first, window - c), k + 1)
+    x = [m.emb[ids[i]] + p["pos"][i - window + c] for i in seen]
+    s = np.array([(x[-1] @ p["q"]) @ (y @ p["k"]) for y in x])
+    a = np.exp(s - s.max())
+    o = sum(b * (y @ p["v"]) for b, y in zip(a / a.sum(), x, strict=True))
+    z = np.maximum(np.concatenate([x[-1], o]) @ p["w1"] + p["b1"], 0)
+    softmax = lambda f: np.exp(f - f.max()) / np.exp(f - f.max()).sum()
+    assert len(o) == w
+    return np.concatenate([g * softmax(z @ p["u"][i] + p["c"][i]) for i, g in enumerate(softmax(z @ p["w2"] + p["b2"]))])
+
+
+def test_batched_probabilities_equal_plain_ones_and_add_up():
+    rng = np.random.default_rng(2)
+    m = tiny_model(rng)
+    start = np.array([0, 3, 70])
+    ids = rng.integers(0, 30, 70).astype(np.int32)
+    need = rng.random(70) < 0.7
+    own, begin = language_model.predict(m, ids, start, need)
+    for a, b in zip(start[:-1], start[1:], strict=True):
+        for k in range(a, b - 1):
+            p = plain_class_probabilities(m, ids, k, a)
+            assert p.sum() == pytest.approx(1, abs=1e-5)
+            if need[k + 1]:
+                assert own[k + 1] == pytest.approx(np.log10(p[m.classes[ids[k + 1]]]), abs=1e-4)
+                assert begin[k + 1] == pytest.approx(np.log10(p[: language_model.BEGINNERS].sum()), abs=1e-4)
+            else:
+                assert own[k + 1] == begin[k + 1] == 0
+
+
+def test_shares_of_known_words_and_of_new_ones_add_up_to_one():
+    classes = np.array([3, 3, 5, 200, 127])
+    first, count = np.array([0, 0, 1, 2, 2]), np.array([5, 1, 2, 7, 1])
+    uses, kinds = np.bincount(first, count, minlength=5), np.bincount(first, minlength=5)
+    x = language_model.Lexicon.of(np.arange(5, dtype=np.uint64), first, count, classes, uses, kinds)
+    for k in (3, 5):
+        assert sum(10 ** x.share[i] for i in range(5) if classes[first[i]] == k) + 10 ** x.rest[k] == pytest.approx(1)
+    assert x.rest[200] == 0
+
+
+def test_scores_do_not_depend_on_partitions_or_on_where_words_are_looked_up(spark, docs, monkeypatch):
+    file, pattern = bpe.public_vocabulary()
+    score = lambda d: sorted((str(r["doc_id"]), round(r["base_score"], 6), r["score"]) for r in language_model.language_model(d, file, pattern).collect())
+    one, six = score(docs.coalesce(1)), score(docs.repartition(6))
+    monkeypatch.setattr(language_model, "HEAVY", 20)
+    joined = score(docs.repartition(3))
+    for a, b, c in zip(one, six, joined, strict=True):
+        assert a[:2] == b[:2] == c[:2]
+        assert b[2] == pytest.approx(a[2], abs=0.01, rel=1e-4) and c[2] == pytest.approx(a[2], abs=0.01, rel=1e-4)
+
+
+def test_language_model_beats_the_base_on_held_out_text(spark):
+    import random
+
+    rng = random.Random(4)
+    subjects, verbs, things = (["red fox", "old dog", "grey cat", "wise owl"], ["sees", "finds", "hears", "likes"], ["the river", "a hill", "the forest", "a stone"])
+    rows = [(i, " ".join(f"the {rng.choice(subjects)} {rng.choice(verbs)} {rng.choice(things)} ." for _ in range(40))) for i in range(400)]
+    file, pattern = bpe.public_vocabulary()
+    got = [r for r in language_model.language_model(frame(spark, rows), file, pattern).collect() if r["held_out"]]
+    assert len(got) > 20 and sum(r["score"] for r in got) > 0.75 * sum(r["base_score"] for r in got)
 
 
 # ---------------------------------------------------------------- quality rules
