@@ -10,11 +10,13 @@ All of it is DataFrame expressions: per-row array functions, mergeable aggregate
 and a Cholesky factor written out in columns.  A group is a few numbers, joined back by a plain join that adaptive
 execution broadcasts or splits by measured size.
 
-Groups with fewer than MIN_GROUP rows are pooled by language, and pooled over all languages if that is not enough; what
-is then still smaller than MIN_GROUP is not tested for outliers.
+Groups with fewer than `min_group` rows are pooled by language, and pooled over all languages if that is not enough; what
+is then still smaller is not tested for outliers.  That bound is the statistical minimum, a few rows for each of the
+numbers that a location and a scatter of P statistics have in a direction, and does not change with the input.
 
 Defined results: null or empty texts have no words, so they fail the rules; null lang or source are values of their
-own; repeated rows count each; a null doc_id is passed on; other columns are ignored.
+own; repeated rows count each; a null doc_id is passed on; of equal distances all are taken or none; a very long text
+is one row's arrays; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +26,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, materialize, table, text_words
+from .common import materialize, table, text_words
 
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Share of a group's rows that the estimate rests on, rounds, and the probability below which distances are accepted.
 SHARE, STEPS, CUTOFF = 0.75, 5, 1 - 1e-5
-MIN_GROUP = 100
+#: Rows that an estimate needs at least: five for each of P + 1.
+MIN_GROUP = 35
 #: Added to the variances: differences of that size in a transformed statistic are no evidence.  Those of repeated words
 #: and duplicate lines are small enough that shares of nearly a half exceed the cutoff alone where a group has none.
 FLOOR = (0.15, 0.08, 0.25, 0.25, 0.25, 0.25)
@@ -133,16 +136,19 @@ def _starts(rows: DataFrame) -> DataFrame:
 
 def mcd(rows: DataFrame, steps: int = STEPS, share: float = SHARE) -> DataFrame:
     """MCD estimate (m_i, l_i_j) of each grp of rows x_0.., the better of two starts."""
-    est = cut(_starts(rows))
+    est = materialize(_starts(rows))
     for _ in range(steps):
-        near = _distance(rows.join(est, "grp")).select("grp", "start", "d2", *_X)
+        # estimate and limit are one small table, whose size Spark knows, so that the rows needn't move for either
+        near = _distance(rows.join(est, "grp"))
         limit = near.groupBy("grp", "start").agg(F.percentile_approx("d2", share, 10_000).alias("limit"))
-        est = cut(_factor(_moments(near.join(limit, ["grp", "start"]).where("d2 <= limit"), ["grp", "start"])))
+        bound = materialize(est.join(limit, ["grp", "start"]))
+        near = _distance(rows.join(bound, "grp")).where("d2 <= limit")
+        est = materialize(_factor(_moments(near, ["grp", "start"])))
     names = [c for c in est.columns if c[:2] in ("m_", "l_")]
     return est.groupBy("grp").agg(F.min_by(F.struct(*names), F.struct("log_det", "start")).alias("e")).select("grp", "e.*")
 
 
-def quality(docs: DataFrame) -> DataFrame:
+def quality(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """The statistics with base_failed, grp, distance (null if untested) and kept."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = materialize(text_statistics(docs).withColumn("base_failed", failed).withColumns({x: v for x, v in zip(_X, _vector(), strict=True)}))
@@ -150,16 +156,16 @@ def quality(docs: DataFrame) -> DataFrame:
     stats = stats.withColumns({"kl": name("lang"), "ks": name("source")})
     # where each (lang, source) goes: to itself, its language's rest, or the rest of all
     counts = stats.where("not base_failed").groupBy("kl", "ks").agg(F.count("*").alias("n"))
-    small = counts.where(F.col("n") < MIN_GROUP)
+    small = counts.where(F.col("n") < min_group)
     rest = small.groupBy("kl").agg(F.sum("n").alias("n_rest"))
-    grp = F.when(F.col("n") >= MIN_GROUP, F.concat_ws(" ", "kl", "ks")).when(F.col("n_rest") >= MIN_GROUP, F.col("kl")).otherwise("all")
-    where = cut(counts.join(rest, "kl", "left").select("kl", "ks", grp.alias("grp")))
+    grp = F.when(F.col("n") >= min_group, F.concat_ws(" ", "kl", "ks")).when(F.col("n_rest") >= min_group, F.col("kl")).otherwise("all")
+    where = materialize(counts.join(rest, "kl", "left").select("kl", "ks", grp.alias("grp")))
     stats = stats.join(where, ["kl", "ks"], "left")
     rows = materialize(stats.where("not base_failed").select("grp", *_X))
     sizes = rows.groupBy("grp").agg(F.count("*").alias("n_group"))
-    est = cut(mcd(rows).join(sizes, "grp"))
+    est = materialize(mcd(rows).join(sizes, "grp"))
     out = _distance(stats.join(est, "grp", "left"))
-    distance = F.when(~F.col("base_failed") & (F.col("n_group") >= MIN_GROUP), F.col("d2") / consistency(SHARE, P))
+    distance = F.when(~F.col("base_failed") & (F.col("n_group") >= min_group), F.col("d2") / consistency(SHARE, P))
     out = out.withColumn("distance", distance)
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(CUTOFF, P), F.lit(True)))
 

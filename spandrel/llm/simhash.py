@@ -2,14 +2,18 @@
 
 Fingerprints: bit i is 1 if it is set in over half the XXH64 values (seed 42) of a document's word shingles, repeats
 included.  Equal fingerprints are one entry from then on.  A top tree of vantage points, from a small sample of the
-entries, deals them into shards by Hamming distance; every entry is a member of one shard and a query to all shards
-that its ball of radius `max_bits` overlaps (triangle bounds), so every pair meets in a shard.  In a shard, a local
-vantage-point tree prunes likewise.  Links leave a shard as a spanning forest, which holds its components but never
-all pairs of a group.
-
-Defined results: a text without words has fingerprint zero and links like any other; fewer words than a shingle give
-one shingle of all words; null doc_ids count as the smallest (null is then their component's name); repeated rows come
-out once for each row.
+entries, deals them into shards by Hamming distance; every entry is a member of one shard and a query to the later shards
+that its ball of radius `max_bits` overlaps (triangle bounds), so every pair meets in the later of its two shards.  In a
+shard, a local vantage-point tree prunes likewise.  Links leave a shard as a spanning forest, which holds its components
+but never all pairs of a group.
+
+Cost: of random fingerprints nearly half lie within two bits of a median distance, so queries grow by about 1.4 for each
+doubling of the shards.  Shards are therefore large (SHARD_ENTRIES), and the tree inside prunes; a query is 17 bytes.
+
+Defined results: a null, empty or blank text has fingerprint zero and links like any other; fewer words than a shingle
+give one shingle of all words; null doc_ids count as the smallest (null is then their component's name); repeated rows
+come out once for each row; a very long text is hashed as a slice of its own, 65,536 shingles' bits at a time; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +31,10 @@ from .common import fresh, materialize, scan_words, table
 from .components import connected_components
 
 SEED = 42
-#: Fingerprints that one shard shall hold, and sampled entries for each shard from which the top tree is made.
-SHARD_ENTRIES = 20_000
-SAMPLE_PER_SHARD = 8
+#: Fingerprints that one shard shall hold, shards that there shall be for the sake of parallel work where these have
+#: LEAST_ENTRIES each, and sampled entries for each shard from which the top tree is made.
+SHARD_ENTRIES, LEAST_SHARDS, LEAST_ENTRIES = 250_000, 16, 4_000
+SAMPLE_PER_SHARD = 32
 LEAF = 48
 
 
@@ -87,27 +92,33 @@ def hamming(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
+def split_radius(d: np.ndarray) -> int:
+    """The radius that parts distances most evenly with some on both sides; distances of distinct points to one of them."""
+    inner = np.cumsum(np.bincount(d))[:-1]
+    return int(np.argmin(np.abs(2 * inner - len(d))))
+
+
 def build_top(sample: np.ndarray, shards: int) -> list[tuple[int, int, int, int]]:
     """Nodes (vantage point, radius, inner, outer); a child below 0 is the shard -1 - child.  Inner: distance <= radius."""
     nodes: list = []
     leaves = 0
 
-    def grow(points: np.ndarray, depth: int) -> int:
+    def grow(points: np.ndarray, shards: int) -> int:
         nonlocal leaves
-        if depth > 0 and len(points) > 1:
+        if shards > 1 and len(points) > 1:
             vantage = points[0]
             d = hamming(points, vantage)
-            radius = int(np.median(d))
+            radius = split_radius(d)
             inner = d <= radius
-            if not inner.all():
-                here = len(nodes)
-                nodes.append(None)
-                nodes[here] = (int(vantage), radius, grow(points[inner], depth - 1), grow(points[~inner], depth - 1))
-                return here
+            here = len(nodes)
+            nodes.append(None)
+            near = min(max(round(shards * inner.mean()), 1), shards - 1)
+            nodes[here] = (int(vantage), radius, grow(points[inner], near), grow(points[~inner], shards - near))
+            return here
         leaves += 1
         return -leaves
 
-    root = grow(sample, max(0, int(np.ceil(np.log2(max(1, shards))))))
+    root = grow(np.unique(sample), shards)
     return nodes if root >= 0 else []
 
 
@@ -162,14 +173,10 @@ def link_shard(fp: np.ndarray, members: np.ndarray, max_bits: int) -> tuple[np.n
         if len(m) > LEAF:
             vantage = fp[m[0]]
             dm, dq = hamming(fp[m], vantage).astype(np.int16), hamming(fp[q], vantage).astype(np.int16)
-            radius = int(np.median(dm))
+            radius = split_radius(dm)
             inner = dm <= radius
-            if inner.all():
-                radius -= 1
-                inner = dm <= radius
-            if inner.any() and not inner.all():
-                todo += [(m[inner], q[dq - max_bits <= radius]), (m[~inner], q[dq + max_bits > radius])]
-                continue
+            todo += [(m[inner], q[dq - max_bits <= radius]), (m[~inner], q[dq + max_bits > radius])]
+            continue
         for a in range(0, len(q), max(1, 2_000_000 // len(m))):
             part = q[a : a + max(1, 2_000_000 // len(m))]
             i, j = np.nonzero(hamming(fp[part][:, None], fp[m][None, :]) <= max_bits)
@@ -182,7 +189,7 @@ def link_shard(fp: np.ndarray, members: np.ndarray, max_bits: int) -> tuple[np.n
 def near_links(entries: DataFrame, max_bits: int = 2) -> DataFrame:
     """Links (u, v) between distinct fingerprints `fp`, enough to span every component."""
     n = entries.count()
-    shards = max(1, -(-n // SHARD_ENTRIES))
+    shards = max(1, -(-n // SHARD_ENTRIES), min(LEAST_SHARDS, n // LEAST_ENTRIES))
     share = min(1.0, (64 + SAMPLE_PER_SHARD * shards) / max(n, 1))
     picked = entries.select("fp").sample(share, seed=1).collect()  # places the shards' bounds only; any sample gives the same links
     sample = np.array([x[0] for x in picked], np.int64).view(np.uint64)
@@ -195,6 +202,7 @@ def near_links(entries: DataFrame, max_bits: int = 2) -> DataFrame:
             i, s = route(fp, nodes, 0)
             own[i] = s
             i, s = route(fp, nodes, max_bits)
+            i, s = i[s >= own[i]], s[s >= own[i]]
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(fp[i].view(np.int64)), pa.array(own[i] == s)], names=["shard", "fp", "member"])
 
     def link(group: pd.DataFrame) -> pd.DataFrame:

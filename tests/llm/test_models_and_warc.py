@@ -101,9 +101,12 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("least", [0, 12])
-def test_warc_round_trip(spark, tmp_path, least):
-    warc.write_warc(pages_of(spark, ROWS), str(tmp_path / "w"), least)
+@pytest.mark.parametrize("least, small", [(0, 1000), (12, 1000), (0, 12)])
+def test_warc_round_trip(spark, tmp_path, least, small):
+    warc.write_warc(pages_of(spark, ROWS), str(tmp_path / "w"), least, small, 6)
+    for f in (tmp_path / "w").glob("*.gz"):
+        found = list(warc.parse_warc(f.read_bytes()))
+        assert len(found) <= 3 or len(found) <= 6 and all(len(b) < small + 200 for _, b in found)
     got = warc.captures(warc.read_records(spark, str(tmp_path / "w"))).collect()
     assert len(got) == len(ROWS)
     by_digest = collections.defaultdict(list)
@@ -136,11 +139,31 @@ def test_warc_repeated_rows_and_empty_tables(spark, tmp_path):
     assert warc.captures(warc.read_records(spark, str(tmp_path / "e"))).count() == 0
 
 
+def test_warc_of_shuffled_rows_has_a_response_for_each_payload(spark, tmp_path):
+    pages = pages_of(spark, [(k % 5, "u", f"page {k % 3}") for k in range(60)]).repartition(4).orderBy("page_id")
+    warc.write_warc(pages, str(tmp_path / "s"))
+    got = warc.captures(warc.read_records(spark, str(tmp_path / "s"))).collect()
+    responses = {r["record_id"] for r in got if r["response"]["type"] == "response"}
+    assert len(got) == 60 and len(responses) == 3 and {r["response"]["refers_to"] for r in got} == {None, *responses}
+
+
+def test_warc_query_reads_sizes_and_digests_from_the_payload(spark, tmp_path, monkeypatch):
+    pages_of(spark, ROWS).write.parquet(f"{tmp_path}/pages.parquet")
+    honest = {r["page_id"]: r for r in warc.op10_warc(spark, str(tmp_path)).collect()}
+    assert honest[1]["record_type"] == "revisit" and honest[1]["refers_to"] == 9 and honest[1]["payload_digest"] == honest[9]["payload_digest"]
+    real = warc.parse_warc
+    monkeypatch.setattr(warc, "parse_warc", lambda data: ((f, b.replace(b"<p>same</p>", b"<p>SAME</p>!")) for f, b in real(data)))
+    damaged = {r["page_id"]: r for r in warc.op10_warc(spark, str(tmp_path)).collect()}
+    want = base64.b32encode(hashlib.sha1(b"<p>SAME</p>!").digest()).decode()
+    assert {damaged[k]["payload_digest"] for k in (1, 2, 9)} == {want} and damaged[1]["payload_bytes"] == 12
+    assert damaged[3]["payload_digest"] == honest[3]["payload_digest"]
+
+
 def test_warc_reads_member_per_record_and_odd_records(spark, tmp_path):
     def record(kind, n, block, *more):
         return b"\r\n".join([b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:%d>" % n, *more, b"Content-Length: %d" % len(block), b"", block]) + b"\r\n\r\n"
 
-    parts = [record(b"warcinfo", 0, b"software: x"), record(b"response", 1, b"HTTP/1.1 404 Gone\r\nContent-Length: 3\r\n\r\nabc", b"Content-Type: application/http; msgtype=response"), record(b"request", 2, b"GET / HTTP/1.1\r\n\r\n", b"WARC-Concurrent-To: <urn:1>"), record(b"metadata", 3, b"a: b", b"WARC-Concurrent-To: <urn:77>"), record(b"response", 4, b"")]
+    parts = [record(b"warcinfo", 0, b"software: x"), record(b"response", 1, b"HTTP/1.1 404 Gone\r\nContent-Length: 3\r\n\r\nabc", b"Content-Type: application/http; msgtype=response"), record(b"request", 2, b"GET / HTTP/1.1\r\n\r\n", b"WARC-Concurrent-To: <urn:1>"), record(b"metadata", 3, b"a: b", b"WARC-Concurrent-To: <urn:77>"), record(b"response", 4, b"", b"WARC-Concurrent-To: <urn:2>")]
     (tmp_path / "m.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
     (tmp_path / "p.warc").write_bytes(b"")
     got = {r["record_id"]: r for r in warc.captures(warc.read_records(spark, str(tmp_path))).collect()}

@@ -245,6 +245,7 @@ def test_vantage_points_lose_no_pair():
     brute.link(i, j)
     want = brute.root(np.arange(len(fp)))
     nodes = simhash.build_top(fp[::7], 8)
+    assert len(nodes) == 7 and len(simhash.build_top(np.arange(64, dtype=np.uint64) ** 0 * (np.uint64(1) << np.arange(64, dtype=np.uint64)), 8)) == 7  # all at one distance
     home = np.zeros(len(fp), int)
     a, s = simhash.route(fp, nodes, 0)
     home[a] = s
@@ -252,7 +253,7 @@ def test_vantage_points_lose_no_pair():
     parts = simhash.Forest(len(fp))
     a, s = simhash.route(fp, nodes, 2)
     for shard in np.unique(s):
-        own = a[s == shard]
+        own = a[(s == shard) & (home[a] <= shard)]
         u, v = simhash.link_shard(fp[own], np.flatnonzero(home[own] == shard), 2)
         parts.link(own[u], own[v])
     assert (parts.root(np.arange(len(fp))) == want).all()
