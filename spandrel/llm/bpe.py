@@ -26,10 +26,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trim
 
 #: Pieces that a worker remembers in each of two generations; a used piece of the older one moves to the younger.
-MEMORY = 200_000
+MEMORY = 150_000
 #: Bytes of the longest piece that is remembered.
 PIECE_BYTES = 64
 NEVER = 1 << 60
@@ -191,6 +191,8 @@ def encode(docs: DataFrame, file: str, pattern: str, with_ids: bool = True) -> D
             if with_ids:
                 arrays, names = [*arrays, pa.array(kept, pa.list_(pa.int32()))], [*names, "token_ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        bpe.pieces.older = {}
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 

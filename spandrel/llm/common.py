@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,6 +61,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def trim() -> None:
+    """Give memory that a finished task has freed back to the machine; a Python worker waits for later tasks beside others."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like `name` that the frame doesn't have."""
     taken = {c.lower() for c in df.columns}

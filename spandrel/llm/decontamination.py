@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, scan_words, table
+from .common import Words, materialize, scan_words, table, trim
 
 WINDOW = 10
 ITEM_BLOCK_BYTES = 16_000_000
@@ -267,6 +267,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                     hit, _, _ = match_shard(w, items)
                     clean[w.lo + w.row[hit]] = False
                 yield batch.filter(pa.array(clean))
+            trim()
 
         docs = docs.mapInArrow(run, schema)
     return docs

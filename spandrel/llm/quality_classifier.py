@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, scan_words, string_buffers, table
+from .common import Words, scan_words, string_buffers, table, trim
 from .sparse import FM, Sparse, beside, fit_fm, one_row_each, sigmoid, structure_bins, word_features
 
 DIMS = 1 << 17
@@ -74,6 +74,7 @@ def collect_features(rows: DataFrame, y: str = "y") -> tuple[Sparse, np.ndarray]
             for w, x in batch_features(batch):
                 ptr = x.ptr.astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, w.n_rows), batch.column(3).slice(w.lo, w.n_rows), pa.ListArray.from_arrays(ptr, pa.array(x.idx.astype(np.int32))), pa.ListArray.from_arrays(ptr, pa.array(x.val))], names=["doc_id", y, "idx", "val"])
+        trim()
 
     got = rows.mapInArrow(run, f"doc_id long, {y} int, idx array<int>, val array<float>").toArrow().sort_by("doc_id").combine_chunks()
     if not got.num_rows:
@@ -118,6 +119,7 @@ def keep_good(docs: DataFrame, model: FM, least: float = 0.5) -> DataFrame:
             own = pa.RecordBatch.from_arrays([pa.nulls(len(t), pa.int64()), t, n], names=["doc_id", "text", "n_chars"])
             good = np.concatenate([sigmoid(m.raw(x)) >= least for _, x in batch_features(own)] or [np.zeros(0, bool)])
             yield batch.filter(pa.array(good))
+        trim()
 
     return docs.mapInArrow(run, schema)
 

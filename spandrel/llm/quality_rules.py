@@ -128,7 +128,7 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
 def _starts(rows: DataFrame) -> DataFrame:
     """Two starts for each group: mean and covariance; median and the scaled median absolute deviation."""
     mean = _moments(rows, ["grp"]).withColumn("start", F.lit(0))
-    mid = rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(_X)])
+    mid = materialize(rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(_X)]))
     spread = rows.join(mid, "grp").groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 1000).alias(f"a_{i}") for i, x in enumerate(_X)])
     robust = mid.join(spread, "grp").select("grp", *[f"m_{i}" for i in range(P)], *[(F.pow(1.4826 * F.col(f"a_{i}"), F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i, j in _pairs()], F.lit(1).alias("start"))
     return _factor(mean.unionByName(robust))
