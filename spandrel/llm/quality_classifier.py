@@ -88,7 +88,10 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN_ROWS) -> FM:
     chosen = F.broadcast(training_labels(labels, "quality", limit))  # at most `limit` rows
     rows = _inputs(docs).join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "n_chars", "y")
     x, y = collect_features(rows)
-    return fit_fm(x, y, DIMS + 32 * STRUCTURE, RANK)
+    model = fit_fm(x, y, DIMS + 32 * STRUCTURE, RANK)
+    del x, y
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: FM) -> DataFrame:
