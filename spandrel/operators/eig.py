@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..streaming.loop import Checkpoint, cut, cut_vector
 from ..types import BlockVector, EigExtr, EigSort, LinSolv, Matrix, Precon, Projection, SdMat, SolverError
-from . import dense, linop, orth, solve, spmv, vec
+from . import dense, linop, orth, rowproj, solve, spmv, vec
 from .linop import LinearOp
 
 # ---------------------------------------------------------------- Arnoldi and Lanczos
@@ -152,6 +152,14 @@ class JadaOptions:
             out[k] = enums[kind].from_str(v) if kind in enums else v.lower() in ("1", "true", "yes") if kind == "bool" else int(v) if kind == "int" else float(v) if kind == "float" else v
         return cls(**out)
 
+    def check(self) -> None:
+        """Refuses what isn't built rather than ignore it."""
+        for name, built in (("lookAhead", -1), ("innerSolvMaxProjectionSpace", -1), ("innerSolvStopAfterFirstConverged", False), ("preconOpts", ""), ("preconType", Precon.NO_PRECON)):
+            if getattr(self, name) != built:
+                raise NotImplementedError(f"{name} {getattr(self, name)}: only {built!r} is built (a preconditioner is handed over as an operator)")
+        if self.symmetry.upper() not in ("GENERAL", "SYMMETRIC", "HERMITIAN"):
+            raise NotImplementedError(f"symmetry {self.symmetry}")
+
     def text(self) -> str:
         return "".join(f"{f.name} {getattr(self, f.name)}\n" for f in fields(self) if f.name != "v0")
 
@@ -221,6 +229,14 @@ class CorrectionSolver:
         for j in range(res.k):  # each column has a shift, so an operator, of its own
             op = jada_op(ab, q, bq, [float(sigma[j])])
             b = BlockVector(cut(linop.projection(q, q if bq is None else bq).apply(vec.view_block(rhs, j, j)).df), res.n, 1)
+            if kind == LinSolv.CARP_CG:  # row projections of the shifted matrix; the complement of Q by a projection after them
+                if bq is not None or ab.matrix is None:
+                    raise SolverError("CARP_CG takes a matrix and no second one")
+                got = rowproj.carp_cg(ab.matrix, b, shifts=[complex(sigma[j])], tol=float(tol[j]), max_iter=o.innerSolvMaxIters)
+                out.append(linop.projection(q, q).apply(got.x))
+                continue
+            if kind.name not in solve.SOLVERS:
+                raise SolverError(f"{kind.name} needs a solver of one's own: CorrectionSolver(options, custom)")
             p = jada_precon(precon, q, bq) if precon is not None and kind == LinSolv.GMRES else None
             more = {"basis": o.innerSolvMaxBas} if kind in (LinSolv.GMRES, LinSolv.MINRES) else {}
             got = solve.SOLVERS[kind.name](op, b, precon=p, tol=float(tol[j]), max_iter=o.innerSolvMaxIters, **more)
@@ -233,6 +249,7 @@ def subspace_jada(op: LinearOp, options: JadaOptions, b: LinearOp | None = None,
     o = options
     if o.how != EigExtr.STANDARD:
         raise NotImplementedError("only standard extraction")
+    o.check()
     solver = solver or CorrectionSolver(o)
     ab = op if b is None else linop.wrap_matrix_pair(op.matrix, b.matrix)
     if b is None:

@@ -96,7 +96,7 @@ class ProductOp(LinearOp):
 
     def _run(self, x: BlockVector) -> BlockVector:
         for m in self.members:
-            x = m.apply(x)
+            x = m.apply_respective(x)
         return x
 
     def extend(self, m: LinearOp) -> ProductOp:

@@ -145,6 +145,16 @@ def encode_bin(i: np.ndarray, j: np.ndarray, v: np.ndarray, nrows: int, ncols: i
     return struct.pack(BIN_HEADER, 0, 1, 0, 1, kind, nrows, ncols, len(v)) + pointer.astype("<i8").tobytes() + j[order].astype("<i8").tobytes() + v[order].astype(BIN_DTYPES[kind]).tobytes()
 
 
+def write_bin(m: Matrix, path: str) -> None:
+    """One binary CRS file, for exchange: its entries pass through the driver; large matrices stay in Parquet."""
+    t = m.df.toPandas()
+    v = t["v"].to_numpy() + 1j * t["v_im"].to_numpy() if m.complex else t["v"].to_numpy()
+    where = m.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(m.spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(encode_bin(t["i"].to_numpy(), t["j"].to_numpy(), v, m.nrows, m.ncols)))
+    out.close()
+
+
 def read_parquet(spark: SparkSession, path: str, context: Context | None = None) -> Matrix:
     """A matrix as written by write_parquet: entries, with the shape in a small table beside them."""
     nrows, ncols = spark.read.parquet(f"{path}/shape").first()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..streaming.loop import cut
 from ..types import BlockVector, Matrix
 
 
@@ -28,7 +29,8 @@ def dense_ids(df: DataFrame, key: str) -> DataFrame:
 
     Keys are sorted by range; each partition numbers its own and the partitions' sizes, a row each, give the offsets.
     """
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).withColumn("__m", F.monotonically_increasing_id()).persist()
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).withColumn("__m", F.monotonically_increasing_id())
+    keys = cut(keys)  # stored, so that a lost executor can't number them anew
     part, local = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = keys.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # a row for each partition
     start, offsets = 0, []

@@ -1,7 +1,7 @@
 """Iterative queries: lineage cuts, versioned checkpoints of solver state, and an iteration log.
 
-Lineage is cut with reliable checkpoints in the folder of `spark.checkpoint.dir` (a temporary one where that is unset),
-so a lost executor costs a re-read and not the run.
+Lineage is cut with reliable checkpoints in the folder of `spark.checkpoint.dir` (a temporary one where that is unset on a single
+machine), so a lost executor costs a re-read and not the run.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ from ..types import BlockVector
 def checkpoint_dir(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="ckpt"))
     return jsc.getCheckpointDir().get()
 
 
