@@ -6,6 +6,7 @@ Block vectors come out as (i, j, x), small matrices as (r, c, v); numbers are ro
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..operators import dense, eig, linop, orth, precond, rowproj, solve, vec
 from ..operators import spmv as sp
-from ..sources import gen, relational
+from ..sources import gen, io, relational
+from ..streaming.loop import checkpoint_dir
 from ..types import BlockVector, EigSort, LinSolv, Map, Matrix, SdMat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,13 +221,13 @@ def carp_setup(spark, sf_dir):
     return rowproj.touching_blocks(parts_by_suppliers(spark, sf_dir), 7)
 
 
-@query(f"WITH {E} SELECT 499 - i AS i, j, round(x, 6) + 0.0 AS x FROM e WHERE i < 500")
+@query(f"WITH {E} SELECT (SELECT count(*) FROM embeddings) - 1 - i AS i, j, round(x, 6) + 0.0 AS x FROM e")
 def to_map(spark, sf_dir):
-    """The first 500 vectors in reverse order, in 5 blocks."""
+    """All vectors in reverse order, in 5 blocks."""
     v = embeddings(spark, sf_dir)
-    v = BlockVector(v.df.where("i < 500"), 500, v.k, Map(500))
-    reverse = spark.range(500).select(F.col("id").alias("i"), (499 - F.col("id")).alias("to"))
-    return long(vec.to_map(v, Map(500, 5, reverse)))
+    v = BlockVector(v.df, v.n, v.k, Map(v.n))
+    reverse = spark.range(v.n).select(F.col("id").alias("i"), (v.n - 1 - F.col("id")).alias("to"))
+    return long(vec.to_map(v, Map(v.n, 5, reverse)))
 
 
 # ---------------------------------------------------------------- vectors
@@ -335,11 +337,13 @@ def mvec_get_set_data(spark, sf_dir):
     return long(vec.set_data(spark, vec.get_data(grid(spark, N, 3), row_major=False)))
 
 
-@query(f"WITH {G} SELECT CAST(j AS INT) AS j, round(sum(x * x) + sum(4 * x * x), 6) AS re, 0.0 AS im FROM g GROUP BY j")
+@query(f"WITH {G}, y AS (SELECT i, j, x, CAST((i + 2 * j) % 5 - 1 AS DOUBLE) AS y FROM g) SELECT j, round(sum(2 * x * y), 6) + 0.0 AS re, round(sum(x * x - y * y), 6) + 0.0 AS im FROM y GROUP BY j")
 def complex_dot(spark, sf_dir):
+    """Of x + iy and y + ix, the first conjugated."""
     x = grid(spark, N, 3)
-    z = vec.combine(x, vec.scale(x, 2.0))
-    return spark.createDataFrame([(j, round(float(v.real), 6) + 0.0, round(float(v.imag), 6) + 0.0) for j, v in enumerate(vec.complex_dot(z, z))], "j int, re double, im double")
+    y = vec.put_func(x, lambda i, j, x: ((i + 2 * j) % 5 - 1).cast("double"))
+    found = vec.complex_dot(vec.combine(x, y), vec.combine(y, x))
+    return spark.createDataFrame([(j, round(float(v.real), 6) + 0.0, round(float(v.imag), 6) + 0.0) for j, v in enumerate(found)], "j int, re double, im double")
 
 
 @query("SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, CAST(3 * ((r + 2 * c) % 5 - 2) - ((c + 2 * r) % 5 - 2) AS DOUBLE) AS v FROM range(4) a(r), range(4) b(c)")
@@ -378,21 +382,48 @@ def linop_identity(spark, sf_dir):
     return long(linop.identity(N).apply(x, 2.0, 3.0, x))
 
 
-@query(f"WITH {T}, {G}, {TG} SELECT g.i, g.j, round(tg.x + 2 * tg.x, 6) + 0.0 AS x FROM g JOIN tg USING (i, j)")
+U = f"u AS (SELECT r.i, r.i + d.d AS j, CASE d.d WHEN 0 THEN 2.0 WHEN 1 THEN -1.0 ELSE -0.5 END AS v FROM range({N}) r(i), (VALUES (-1), (0), (1)) d(d) WHERE r.i + d.d BETWEEN 0 AND {N - 1})"
+UG = "ug AS (SELECT u.i, g.j, sum(u.v * g.x) AS x FROM u JOIN g ON u.j = g.i GROUP BY 1, 2)"
+UTG = "utg AS (SELECT u.j AS i, g.j, sum(u.v * g.x) AS x FROM u JOIN g ON u.i = g.i GROUP BY 1, 2)"
+
+
+def uneven(spark: SparkSession, n: int = N) -> Matrix:
+    """A nonsymmetric tridiagonal matrix."""
+    return gen.tridiagonal(spark, n, 2.0, -1.0, -0.5)
+
+
+@query(f"WITH {T}, {U}, {G}, {TG}, {UG} SELECT g.i, g.j, round(tg.x + 2 * ug.x, 6) + 0.0 AS x FROM g JOIN tg USING (i, j) JOIN ug USING (i, j)")
 def linop_pair_shifted(spark, sf_dir):
-    a = toeplitz(spark)
-    op = linop.wrap_matrix_pair(a, a)
+    op = linop.wrap_matrix_pair(toeplitz(spark), uneven(spark))
     op.shifts = [2.0]
     return long(op.apply_respective(grid(spark, N, 3)))
 
 
-@query(f"WITH {T}, {G}, {TG} SELECT i, j, round(x, 6) + 0.0 AS x FROM tg")
+@query(f"WITH {U}, {G}, {UTG} SELECT i, j, round(x, 6) + 0.0 AS x FROM utg")
 def linop_transposed(spark, sf_dir):
-    op = linop.wrap_matrix(toeplitz(spark))
+    op = linop.wrap_matrix(uneven(spark))
     op.use_transpose = True
     return long(op.apply_respective(grid(spark, N, 3)))
 
 
+@query(f"WITH {U}, {G}, {UTG} SELECT g.i, g.j, round(3 * utg.x - g.x, 6) + 0.0 AS x FROM g JOIN utg USING (i, j)")
+def linop_apply_t(spark, sf_dir):
+    x = grid(spark, N, 3)
+    return long(linop.wrap_matrix(uneven(spark)).apply_t(x, 3.0, -1.0, x))
+
+
+@query(f"WITH {U}, {G}, {UG} SELECT a.j AS r, b.j AS c, round(sum(a.x * b.x), 6) + 0.0 AS v FROM g a JOIN ug b USING (i) GROUP BY 1, 2")
+def linop_fused_mvtmv(spark, sf_dir):
+    f = linop.wrap_matrix(uneven(spark)).fused_apply_mvtmv(grid(spark, N, 3))
+    f.done()
+    return small(spark, SdMat(f.vw))
+
+
+@query(f"WITH {T}, {U}, {G}, {TG}, o AS (SELECT u.i, tg.j, sum(u.v * tg.x) AS x FROM u JOIN tg ON u.j = tg.i GROUP BY 1, 2) SELECT i, j, round(x, 6) + 0.0 AS x FROM o")
+def linop_product_extend(spark, sf_dir):
+    return long(linop.ProductOp(linop.wrap_matrix(toeplitz(spark))).extend(linop.wrap_matrix(uneven(spark))).apply(grid(spark, N, 3)))
+
+
 @query(f"WITH {G}, p AS (SELECT a.j AS r, b.j AS c, sum(a.x * b.x) AS v FROM g a JOIN g b USING (i) GROUP BY 1, 2) SELECT g.i, p.c AS j, round(any_value(o.x) - sum(g.x * p.v), 6) + 0.0 AS x FROM g JOIN p ON g.j = p.r JOIN g o ON o.i = g.i AND o.j = p.c GROUP BY 1, 2")
 def projection(spark, sf_dir):
     x = grid(spark, N, 3)
@@ -465,17 +496,34 @@ def hubbard_symmetry(spark, sf_dir):
     return d.agg(F.round(F.max("d"), 9).alias("value")).select(F.lit(0).alias("j"), "value")
 
 
-@query("SELECT CAST(0 AS INT) AS j, 512.0 AS value UNION ALL SELECT 1, 3200.0")
-def bench3d_shape(spark, sf_dir):
-    m = gen.create_matrix(spark, "BENCH3D-8-B1")
-    return numbers(spark, [m.nrows, m.df.count()])
+def _morton3(x: str, y: str, z: str) -> str:
+    return " + ".join(f"((({c}) >> {b}) & 1) * {8**b * 2**k}" for b in range(2) for k, c in enumerate((x, y, z)))
 
 
-@query("SELECT CAST(0 AS INT) AS j, 0.0 AS value")
-def graphene_symmetry(spark, sf_dir):
-    m = gen.create_matrix(spark, "graphene8x16")
-    d = m.df.alias("a").join(m.transposed().df.alias("b"), ["i", "j"], "full").select(F.abs(F.coalesce("a.v", F.lit(0.0)) - F.coalesce("b.v", F.lit(0.0))).alias("d"))
-    return d.agg(F.round(F.max("d"), 9).alias("value")).select(F.lit(0).alias("j"), "value")
+def bench3d_query(problem: str, scales: tuple[float, float, float], reaction: float) -> None:
+    """Side 4; a row for each point and one for each neighbour inside."""
+    faces = ["exp(-({x}) * ({y}) * ({z}))", "exp(({x}) * ({y}) * ({z}))", "exp((1 - ({x})) * (1 - ({y})) * (1 - ({z})))"]
+    face = lambda k, s: faces[k].format(**{c: f"{c} + {s} * h / 2" if "xyz"[k] == c else c for c in "xyz"})
+    parts = [f"SELECT a, b, c, a AS ja, b AS jb, c AS jc, {' + '.join(face(k, s) for k in range(3) for s in (-1, 1))} + h * h * {reaction} / (1 + x + y + z) AS v FROM p"]
+    for k, wave in enumerate(("y", "z", "x")):
+        for s in (-1, 1):
+            to = [f"{c} + {s}" if m == k else c for m, c in enumerate("abc")]
+            parts.append(f"SELECT a, b, c, {', '.join(to)}, -{face(k, s)} + {scales[k]} * sin(pi() * {wave}) * {s} * h FROM p WHERE {to[k]} BETWEEN 0 AND 3")
+    sql = f"WITH p AS (SELECT a, b, c, (a + 1) / 5.0 AS x, (b + 1) / 5.0 AS y, (c + 1) / 5.0 AS z, 1 / 5.0 AS h FROM range(4) r(a), range(4) s(b), range(4) t(c)), e AS ({' UNION ALL '.join(parts)}) "
+    sql += f"SELECT CAST({_morton3('a', 'b', 'c')} AS BIGINT) AS i, CAST({_morton3('ja', 'jb', 'jc')} AS BIGINT) AS j, round(v, 6) + 0.0 AS v FROM e"
+    query(sql, f"bench3d_{problem.lower()}")(lambda spark, sf_dir: entries(gen.create_matrix(spark, f"BENCH3D-4-{problem}")))
+
+
+for _problem, _scales, _reaction in (("B0", (0, 0, 0), 0), ("B1", (20, 0, 0), 0), ("B3", (20, 0, 0), 100), ("B4", (1000, 1000, 0), 0), ("B5", (100, 5, 0), 5)):
+    bench3d_query(_problem, _scales, _reaction)
+
+
+@query(f"WITH s AS (SELECT w, l, CASE WHEN (w + l) % 2 = 1 THEN 1 ELSE -1 END AS up FROM range(6) a(w), range(5) b(l)), k AS (SELECT -0.1 / 2.78 AS t2, -0.095 / 2.78 AS t3), "
+       "h AS (SELECT dw, e, f, CASE t WHEN 1 THEN -1.0 WHEN 2 THEN t2 WHEN 3 THEN t3 ELSE 3 * t3 END AS v FROM k, (VALUES (0, 0, 0, 0), (-1, 0, 0, 1), (1, 0, 0, 1), (0, 0, 1, 1), (-2, 0, 0, 2), (2, 0, 0, 2), (-1, -1, 0, 2), (-1, 1, 0, 2), (1, -1, 0, 2), (1, 1, 0, 2), (-2, 0, 1, 3), (2, 0, 1, 3), (0, 0, -1, 3)) x(dw, e, f, t)) "
+       "SELECT w + 6 * l AS i, w + dw + 6 * (l + e + f * up) AS j, round(v, 6) + 0.0 AS v FROM s, h WHERE w + dw BETWEEN 0 AND 5 AND l + e + f * up BETWEEN 0 AND 4")
+def graphene(spark, sf_dir):
+    """An open sheet, 6 wide and 5 long, without disorder."""
+    return entries(gen.graphene(spark, 6, 5, gamma=0.0))
 
 
 # ---------------------------------------------------------------- solvers: the solution is known
@@ -509,12 +557,19 @@ solver_query("carp_cg", lambda a, op, b: rowproj.carp_cg(a, b, tol=1e-9, blocks=
 solver_query("iter_op", lambda a, op, b: solve.solver_op(op, "PCG", tol=1e-9).apply(b))
 
 
-@query(_SOLUTION)
-def carp_sweep_fixed_point(spark, sf_dir):
-    """The solution of a system does not move under a sweep."""
-    a, _, b = _system(spark)
-    x = grid(spark, _SMALL, 2)
-    return long(rowproj.sweep_vectors(rowproj.setup(a, 3), [0.0, 0.0], b, x)[0])
+_ROW1, _ROW2 = ("u + 4 * (b1 - 4 * u - v) / 17 AS u, v + (b1 - 4 * u - v) / 17 AS v", "u + (b2 - u - 4 * v) / 17 AS u, v + 4 * (b2 - u - 4 * v) / 17 AS v")
+
+
+@query(
+    "WITH s0 AS (SELECT p, j, CAST((2 * p * (j + 1)) % 7 - 3 AS DOUBLE) AS b1, CAST(((2 * p + 1) * (j + 1)) % 7 - 3 AS DOUBLE) AS b2, 1.0 AS u, 1.0 AS v FROM range(100) a(p), range(2) b(j)), "
+    f"s1 AS (SELECT p, j, b1, b2, {_ROW1} FROM s0), s2 AS (SELECT p, j, b1, b2, {_ROW2} FROM s1), s3 AS (SELECT p, j, b1, b2, {_ROW2} FROM s2), s4 AS (SELECT p, j, b1, b2, {_ROW1} FROM s3) "
+    "SELECT 2 * p AS i, CAST(j AS INT) AS j, round(u, 6) + 0.0 AS x FROM s4 UNION ALL SELECT 2 * p + 1, j, round(v, 6) + 0.0 FROM s4"
+)
+def carp_sweep(spark, sf_dir):
+    """One sweep down and up over rows (4, 1), (1, 4) in pairs, from all ones."""
+    rows = spark.range(N).select(F.col("id").alias("i"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    a = Matrix.from_entries(rows.select("i", (F.col("i") - F.col("i") % 2 + F.col("k")).alias("j"), F.when(F.col("i") % 2 == F.col("k"), 4.0).otherwise(1.0).alias("v")), N, N)
+    return long(rowproj.sweep_vectors(rowproj.setup(a, 4), [0.0, 0.0], grid(spark, N, 2), vec.create(spark, N, 2, 1.0))[0])
 
 
 # ---------------------------------------------------------------- orthogonalisation and eigenvalues: known in closed form
@@ -541,6 +596,28 @@ def _orthog(spark, sf_dir):
     return small(spark, vec.gram(both, both))
 
 
+@query(f"WITH {E} SELECT i, CAST(j - 3 AS INT) AS j, round(x, 6) + 0.0 AS x FROM e WHERE j BETWEEN 3 AND 8")
+def orthog_factors(spark, sf_dir):
+    """Q R1 + V R2 gives back what was orthogonalised: columns 3 to 8 against the first three."""
+    e = embeddings(spark, sf_dir)
+    v = orth.orthog(None, vec.view_block(e, 0, 2))[0]
+    q, r1, r2, _ = orth.orthog(v, vec.view_block(e, 3, 8))
+    return long(vec.times_sdmat_add(q, r1, v, r2))
+
+
+@query(f"WITH {E} SELECT i, j, round(x, 6) + 0.0 AS x FROM e WHERE j < 8")
+def mvec_qr(spark, sf_dir):
+    """Q R of the first eight columns."""
+    q, r, _ = orth.qr(vec.view_block(embeddings(spark, sf_dir), 0, 7))
+    return long(vec.times_sdmat(1.0, q, r))
+
+
+@query(f"WITH {G}, {C3}, h AS (SELECT a.c AS r, b.c AS c, sum(a.v * m.v * b.v) AS v FROM c a JOIN c m ON a.r = m.r JOIN c b ON m.c = b.r GROUP BY 1, 2) SELECT r, c, round(v, 6) + 0.0 AS v FROM h")
+def transform_search_space(spark, sf_dir):
+    """M' H M."""
+    return small(spark, orth.transform_search_space([grid(spark, N, 3)], coefficients(3, 3), coefficients(3, 3))[1])
+
+
 _TINY = 24
 _EV = f"2 - 2 / (1 + 1e-8) * cos(k * pi() / {_TINY + 1})"
 
@@ -598,6 +675,161 @@ def free_fermions_shape(spark, sf_dir):
     return numbers(spark, [m.nrows])
 
 
+# ---------------------------------------------------------------- both outputs of fused forms
+
+
+@query(f"WITH {G}, {C3} SELECT g.i, c.c AS j, round(sum(g.x * c.v), 6) + 0.0 AS x FROM g JOIN c ON g.j = c.r GROUP BY 1, 2")
+def fused_mvsdi_w(spark, sf_dir):
+    x = grid(spark, N, 3)
+    return long(sp.mvsdi_mvtmv(2.0, x, x, coefficients(3, 3))[0])
+
+
+@query(f"WITH {G}, {C3} SELECT g.i, c.c AS j, round(2 * sum(g.x * c.v) - any_value(o.x), 6) + 0.0 AS x FROM g JOIN c ON g.j = c.r JOIN g o ON o.i = g.i AND o.j = c.c GROUP BY 1, 2")
+def fused_mvsd_w(spark, sf_dir):
+    x = grid(spark, N, 3)
+    return long(sp.mvsd_mvtmv(2.0, x, coefficients(3, 3), -1.0, x)[0])
+
+
+# ---------------------------------------------------------------- small matrices: min(r, c) + 1 is positive definite, its inverse and spectrum are known
+
+_FOUR = "FROM range(4) a(r), range(4) b(c)"
+
+
+def lowest() -> SdMat:
+    r, c = np.indices((4, 4))
+    return SdMat(np.minimum(r, c) + 1.0)
+
+
+def small_query(name: str, value: str, f: Callable[[], np.ndarray]) -> None:
+    query(f"SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(CAST({value} AS DOUBLE), 6) + 0.0 AS v {_FOUR}", name)(lambda spark, sf_dir: small(spark, SdMat(np.real(f()))))
+
+
+def _cholesky() -> np.ndarray:
+    r, perm, _ = dense.cholesky(lowest())
+    out = np.zeros((4, 4))
+    out[np.ix_(perm, perm)] = r.a.T @ r.a
+    return out + 100 * np.tril(r.a, -1)
+
+
+def _solved() -> np.ndarray:
+    r, perm, rank = dense.cholesky(lowest())
+    return dense.backward(r, perm, rank, dense.forward(r, perm, rank, dense.identity(4, 4))).a
+
+
+def _qr() -> np.ndarray:
+    q, r = dense.qr(lowest())
+    return q.a @ r.a + 100 * q.a.T @ q.a + 1000 * np.tril(r.a, -1)
+
+
+def _qb() -> np.ndarray:
+    b, back, _, _ = dense.qb(lowest())
+    return b.a.T @ lowest().a @ b.a + 100 * b.a @ back.a
+
+
+def _slanted() -> np.ndarray:
+    return 2.0 * np.eye(4) - np.eye(4, k=1) - 0.5 * np.eye(4, k=-1)
+
+
+def _schur() -> np.ndarray:
+    t, q, _ = dense.sorted_schur(_slanted(), EigSort.LR)
+    return q @ t @ q.conj().T + 100 * np.tril(t, -1)
+
+
+def _generalized_schur() -> np.ndarray:
+    s, t, v, w, _ = dense.generalized_schur(_slanted(), lowest().a, EigSort.LM)
+    return w @ s @ v.conj().T + 100 * w @ t @ v.conj().T
+
+
+def _schur_vectors() -> np.ndarray:
+    t, q, _ = dense.sorted_schur(_slanted(), EigSort.LR)
+    x = dense.schur_eigenvectors(t)
+    return q @ x @ np.diag(np.diag(t)) @ np.linalg.inv(q @ x)
+
+
+_LOW, _SLANT, _UNIT = "least(r, c) + 1.0", "CASE c - r WHEN 0 THEN 2.0 WHEN 1 THEN -1.0 WHEN -1 THEN -0.5 ELSE 0.0 END", "CASE WHEN r = c THEN 1.0 ELSE 0.0 END"
+_INVERSE = "CASE WHEN r = c AND r = 3 THEN 1.0 WHEN r = c THEN 2.0 WHEN abs(r - c) = 1 THEN -1.0 ELSE 0.0 END"
+small_query("sdmat_add_plain", f"2 * ((r + 2 * c) % 5 - 2) - 3 * {_UNIT}", lambda: dense.add(2.0, coefficients(4, 4), -3.0, dense.identity(4, 4)).a)
+small_query("sdmat_set_block", "CASE WHEN r BETWEEN 1 AND 2 AND c BETWEEN 2 AND 3 THEN 7.0 ELSE (r + 2 * c) % 5 - 2 END", lambda: dense.set_block(coefficients(4, 4), dense.put_value(2, 2, 7.0), 1, 2, 2, 3).a)
+small_query("sdmat_data", "(r + 2 * c) % 5 - 2.0", lambda: dense.set_data(dense.get_data(coefficients(4, 4), False), 4, 4, False).a)
+small_query("sdmat_cholesky", _LOW, _cholesky)
+small_query("sdmat_substitutions", _INVERSE, _solved)
+small_query("sdmat_inverse", _INVERSE, lambda: dense.inverse_hpd(lowest())[0].a)
+small_query("sdmat_pseudo_inverse", _INVERSE, lambda: dense.pseudo_inverse(lowest())[0].a)
+small_query("sdmat_qr", f"{_LOW} + 100 * {_UNIT}", _qr)
+small_query("sdmat_qb", f"101 * {_UNIT}", _qb)
+small_query("schur_form", _SLANT, _schur)
+small_query("generalized_schur", f"{_SLANT} + 100 * ({_LOW})", _generalized_schur)
+small_query("schur_eigenvectors", _SLANT, _schur_vectors)
+
+
+@query("SELECT CAST(0 AS INT) AS j, round(sqrt(sum(((r + 2 * c) % 5 - 2) ** 2)), 6) AS value FROM range(4) a(r), range(4) b(c)")
+def sdmat_norm_f(spark, sf_dir):
+    return numbers(spark, [dense.norm_f(coefficients(4, 4))])
+
+
+@query("SELECT CAST(k - 1 AS INT) AS j, round(1 / (2 - 2 * cos((2 * k - 1) * pi() / 9)), 6) AS value FROM range(1, 5) t(k)")
+def sdmat_svd(spark, sf_dir):
+    u, s, vt = dense.svd(lowest())
+    return numbers(spark, np.diag(u.a.T @ lowest().a @ vt.a.T) if np.allclose(u.a @ np.diag(s) @ vt.a, lowest().a) else s * 0)
+
+
+@query("SELECT CAST(k - 1 AS INT) AS j, round(2 + 2 * sqrt(0.5) * cos(k * pi() / 5), 6) AS value FROM range(1, 5) t(k)")
+def schur_values(spark, sf_dir):
+    """Eigenvalues of a nonsymmetric matrix, the largest real part first."""
+    return numbers(spark, np.real(dense.sorted_schur(_slanted(), EigSort.LR)[2]))
+
+
+@query("SELECT CAST(j AS INT) AS j, CAST(value AS DOUBLE) AS value FROM (VALUES (0, 1), (1, 0), (2, 2)) t(j, value)")
+def schur_reordered(spark, sf_dir):
+    """Equal eigenvalues: the smaller residual comes first."""
+    return numbers(spark, dense.reorder_by_residual(np.diag([2.0, 2.0, 1.0]), np.eye(3), EigSort.LM, np.array([0.3, 0.1, 0.2]), 1e-9)[2])
+
+
+# ---------------------------------------------------------------- readers and writers
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_UNEVEN = f"WITH {U} SELECT i, j, CAST(v AS DOUBLE) AS v FROM u"
+
+
+@query(_UNEVEN)
+def read_mm(spark, sf_dir):
+    path = _place(spark, "mm")
+    io.write_mm(uneven(spark), path)
+    return entries(io.read_mm(spark, path))
+
+
+@query(_UNEVEN)
+def read_bin(spark, sf_dir):
+    path = _place(spark, "crs")
+    io.write_bin(uneven(spark), path)
+    return entries(io.read_bin(spark, path))
+
+
+@query(_UNEVEN)
+def read_parquet(spark, sf_dir):
+    path = _place(spark, "matrix")
+    io.write_parquet(uneven(spark), path)
+    return entries(io.read_parquet(spark, path))
+
+
+@query(f"WITH {E} SELECT i, j, round(x, 6) + 0.0 AS x FROM e")
+def mvec_write_read(spark, sf_dir):
+    path, v = _place(spark, "vector"), embeddings(spark, sf_dir)
+    io.write_vector(v, path)
+    return long(io.read_vector(spark, path, v.n, v.k))
+
+
+@query(f"SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, CAST({_LOW} AS DOUBLE) AS v {_FOUR}")
+def sdmat_write_read(spark, sf_dir):
+    path = _place(spark, "small")
+    io.write_sdmat(lowest(), spark, path)
+    return small(spark, io.read_sdmat(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

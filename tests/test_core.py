@@ -196,6 +196,30 @@ def test_grid_matrices(spark):
         gen.create_matrix(spark, "nothing12")
 
 
+def test_graphene_is_open_and_its_first_number_the_width(spark):
+    d = dense_of(gen.create_matrix(spark, "graphene6x4"))
+    assert d.shape == (24, 24) and np.allclose(d, d.T)
+    assert d[0, 5] == 0 and d[0, 18] == 0  # no wrapping
+    assert d[0, 1] == d[1, 7] == -1 and d[0, 6] != -1  # only odd sites are bound to the row above
+    round_ = dense_of(gen.graphene(spark, 6, 4, gamma=0.0, periodic=True))
+    assert round_[0, 5] == -1
+
+
+def test_convection_of_the_grid_problems(spark):
+    plain = dense_of(gen.create_matrix(spark, "BENCH3D-4-A0"))
+    for k in range(1, 8):
+        assert np.allclose(dense_of(gen.create_matrix(spark, f"BENCH3D-4-A{k}")), plain)
+    b0, b4 = dense_of(gen.create_matrix(spark, "BENCH3D-4-B0")), dense_of(gen.create_matrix(spark, "BENCH3D-4-B4"))
+    assert np.allclose(np.diag(b0), np.diag(b4)) and not np.allclose(b0, b4)
+
+
+def test_options_that_are_not_built_are_refused():
+    for text in ("lookAhead 3", "innerSolvMaxProjectionSpace 5", "innerSolvStopAfterFirstConverged 1", "preconOpts x", "symmetry odd"):
+        with pytest.raises(NotImplementedError):
+            eig.JadaOptions.parse(text).check()
+    eig.JadaOptions.parse("symmetry HERMITIAN\nblockSize 2").check()
+
+
 def test_row_functions(spark):
     m = gen.from_row_function(spark, 6, lambda i, w: ([i], [w["two"]]), setup=lambda: {"two": 2.0}, context=Context.of(6, 6, 3))
     assert np.allclose(dense_of(m), 2 * np.eye(6))
