@@ -4,12 +4,15 @@ Inputs of a score: hashed words (log counts, each text of length one), nine binn
 metadata column, n_chars, binned.  Never labels, lang, source or doc_id.  Pairwise interactions have low rank, and a
 score takes time linear in the features by the sum-of-squares identity.
 
-The model is fitted on the driver from at most `MAX_TRAIN_ROWS` labelled documents, those with the smallest hashes of
-their doc_id, so the driver's memory is bounded; every document is scored.
+The model is fitted on the driver from at most `MAX_TRAIN_ROWS` labelled documents of at most `MAX_TRAIN_BYTES` of text
+together, those with the smallest hashes of their doc_id, one text of each id, so the driver's memory is bounded; every
+document is scored.
 
 Defined results: a null or empty text has structure statistics only; several labels of a document count as their
 majority (ties as 1), null labels not at all; a null doc_id is held out by the checksum of the empty text and never
-labelled; without labelled rows all scores are 0.5; repeated rows are scored alike; other columns are ignored.
+labelled; of a labelled id with several texts the one with the smallest hash is learnt from; without labelled rows all
+scores are 0.5; repeated rows are scored alike; a very long text is scored whole, as a slice of its own; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from .sparse import FM, Sparse, beside, fit_fm, one_row_each, sigmoid, structure
 
 DIMS = 1 << 17
 RANK = 8
-MAX_TRAIN_ROWS = 20_000
+MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 20_000, 256_000_000
 STRUCTURE = 10  # nine statistics and n_chars
 
 
@@ -46,6 +49,20 @@ def training_labels(labels: DataFrame, name: str, limit: int = MAX_TRAIN_ROWS) -
     return known.orderBy(F.xxhash64("label_id"), "label_id").limit(limit)
 
 
+def training_texts(rows: DataFrame, limit: int = MAX_TRAIN_BYTES) -> DataFrame:
+    """One row for each label_id of rows (label_id, text, ...), in order of its hash as far as their texts have `limit` bytes together.
+
+    There are no more label_ids than labels were chosen, so their sizes are a bounded table for the driver.
+    """
+    key = F.xxhash64("label_id")
+    sizes = rows.groupBy(key.alias("h")).agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).toArrow().sort_by("h")
+    fits = np.cumsum(sizes["size"].to_numpy().astype(np.int64)) <= limit
+    if not fits.all():
+        rows = rows.where(key <= int(sizes["h"].to_numpy()[fits][-1])) if fits.any() else rows.where("false")
+    one = rows.groupBy("label_id").agg(F.min_by(F.struct(*rows.columns), F.struct(F.xxhash64("text"), "text")).alias("r"))
+    return one.select("r.*")
+
+
 def features(w: Words, raw: np.ndarray, n_chars: np.ndarray) -> Sparse:
     """Of one slice; raw: its bytes before lower-casing; n_chars below 0: unknown."""
     size = np.where(n_chars < 0, 31, np.round(1.5 * np.log2(1 + np.maximum(n_chars, 0)))).astype(np.int64)
@@ -86,7 +103,7 @@ def collect_features(rows: DataFrame, y: str = "y") -> tuple[Sparse, np.ndarray]
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN_ROWS) -> FM:
     chosen = F.broadcast(training_labels(labels, "quality", limit))  # at most `limit` rows
-    rows = _inputs(docs).join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "n_chars", "y")
+    rows = training_texts(_inputs(docs).join(chosen, F.col("doc_id") == F.col("label_id"))).select("doc_id", "text", "n_chars", "y")
     x, y = collect_features(rows)
     model = fit_fm(x, y, DIMS + 32 * STRUCTURE, RANK)
     del x, y

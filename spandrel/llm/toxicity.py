@@ -3,13 +3,16 @@
 The categories are predicted one after another; each model also gets the log-odds of the categories before it.  In
 training these come from models of other folds (out-of-fold), so a later model never sees predictions that an earlier
 one made for rows it was fitted on.  The chain is fitted on the driver from at most `MAX_TRAIN_ROWS` labelled documents
-(the smallest by the hash of their doc_id); every document is scored.
+of at most MAX_TRAIN_BYTES of text together (the smallest by the hash of their doc_id, one text of each id); every
+document is scored.
 
 Any list of (name, SQL condition over the label columns) can be categories.  `labels` marks two: low quality (junk is
 easily taken for abuse, so it comes first) and toxic.
 
 Defined results: null or empty texts get the score of no evidence; rows whose label columns are null are not learnt
-from; the rest is as in the quality classifier.
+from; of several labels of a document the larger of each category holds, of several texts the one with the smallest
+hash; a probability of just one half is a decision for the category; repeated rows are scored alike; a very long text is
+scored whole, as a slice of its own; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scan_words, table
-from .quality_classifier import held_out
+from .quality_classifier import held_out, training_texts
 from .sparse import FM, Sparse, beside, fit_fm, presence_features, sigmoid
 
 DIMS = 1 << 18
@@ -113,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, limit: int =
     known = known.groupBy("label_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))])
     chosen = F.broadcast(known.orderBy(F.xxhash64("label_id"), "label_id").limit(limit))
     packed = F.array(*[f"y{i}" for i in range(len(names))]).alias("y")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", packed)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id") == F.col("label_id"))
+    rows = training_texts(rows).select("doc_id", "text", packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

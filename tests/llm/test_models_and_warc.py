@@ -2,13 +2,17 @@ import base64
 import collections
 import gzip
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from spandrel.llm import components, quality_classifier, simhash, sparse, toxicity, warc
+from spandrel.llm import common, components, quality_classifier, simhash, sparse, toxicity, warc
 
 from .conftest import DOCS, frame, make_text
 
@@ -75,6 +79,83 @@ def test_toxicity_chain(spark, labelled, docs, no_docs, base_rows):
     assert all(len(r["chain"]) == 2 for r in toxicity.score(docs, empty).collect())
 
 
+def word_hash(word):
+    return int(next(iter(common.scan_words(pa.array([word])))).hash[0])
+
+
+def plain_words(text):
+    return ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in re.split("[ \t-\r]+", text or "") if w]
+
+
+def test_quality_scores_equal_a_plain_factorisation_machine(spark, labelled, docs, base_rows):
+    data, labels = labelled
+    m = quality_classifier.fit(data, labels)
+    got = collections.defaultdict(set)
+    for r in quality_classifier.score(docs, m).collect():
+        got[r["doc_id"]].add(round(r["score"], 4))
+    for i, text in [x for x in base_rows if x[1] is None or len(x[1]) < 600][:25]:
+        t, w = text or "", plain_words(text)
+        x = {}
+        counts = collections.Counter((word_hash(v) >> 20) % quality_classifier.DIMS for v in w)
+        norm = math.sqrt(sum(math.log1p(n) ** 2 for n in counts.values()))
+        for k, n in counts.items():
+            x[k] = math.log1p(n) / max(norm, 1e-9)
+        size, raw = len(t.encode()), t.encode()
+        share = lambda n, of: round(4 * math.log2(1 + 60 * n / of))
+        n = max(len(w), 1)
+        grams = {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+        bins = [round(2 * math.log2(1 + len(w))), round(2 * sum(len(v.encode()) for v in w) / n)]
+        bins += [share(sum(c in chars for c in raw), max(size, 1)) for chars in (range(65, 91), b"#*$%&|<>{}[]\\^~@=+_", b"0123456789", b"!?.,;:")]
+        bins += [round(20 * len(set(w)) / n), round(20 * (1 - len(grams) / max(len(w) - 2, 1))), round(2 * math.log2(n / (t.count("\n") + 1) + 1))]
+        bins += [31 if text is None else round(1.5 * math.log2(1 + len(t)))]
+        for k, b in enumerate(bins):
+            x[quality_classifier.DIMS + 32 * k + min(max(b, 0), 31)] = 0.5
+        ids = sorted(x)
+        raw_score = m.bias + sum(m.w[k] * x[k] for k in ids)
+        raw_score += sum(float(m.v[a] @ m.v[b]) * x[a] * x[b] for p, a in enumerate(ids) for b in ids[:p])
+        assert any(abs(1 / (1 + math.exp(-raw_score)) - s) < 2e-3 for s in got[i]), (i, got[i])
+
+
+def test_toxicity_scores_equal_a_plain_chain(spark, labelled, docs, base_rows):
+    data, labels = labelled
+    chain = toxicity.fit(data, labels)
+    rows = [x for x in base_rows if x[1] is None or len(x[1]) < 600][:20] + [(7777, "vilebeast a b vilegoat c vileworm vilebeast")]
+    got = collections.defaultdict(list)
+    for r in toxicity.score(frame(spark, rows), chain).collect():
+        got[r["doc_id"]].append(r["chain"])
+    low = lambda n: np.uint64((1 << 8 * n) - 1)
+    for i, text in rows:
+        counts = collections.Counter()
+        for v in plain_words(text):
+            b = v.encode()
+            counts[word_hash(v) >> 33] += 1
+            for k in (5, 6, 7):
+                if len(b) >= k:
+                    first = np.frombuffer(b[:k].ljust(8, b"\0"), "<u8")
+                    counts[int(common.mix64((first & low(k)) * np.uint64(0xA0761D6478BD642F) + np.uint64(k))[0]) >> 33] += 1
+        on = set()
+        for h, n in counts.items():
+            for level, least in enumerate((1, 2, 4, 8)):
+                if n >= least:
+                    on.add((int(common.mix64(np.array([h * 4 + level], np.uint64))[0]) >> 20) % toxicity.DIMS)
+        on = [k for k in on if chain.used[k]]
+        earlier = []
+        for c, m in enumerate(chain.models):
+            raw = m.bias + sum(m.w[k] for k in on) + sum(m.w[toxicity.DIMS + k] * e / 4 for k, e in enumerate(earlier))
+            earlier.append(min(max(raw, -6), 6))
+        want = [1 / (1 + math.exp(-e)) for e in earlier]
+        assert any(np.allclose(want, x, atol=1e-3) for x in got[i]), (i, want, got[i])
+
+
+def test_a_labelled_id_that_comes_often_is_learnt_from_once(spark, labelled):
+    data, labels = labelled
+    often = data.unionByName(data.where("doc_id = 2")).unionByName(data.where("doc_id = 2")).unionByName(data.where("doc_id = 1").withColumn("doc_id", F.lit(2).cast("long")))
+    rows = often.select(F.col("doc_id").alias("label_id"), "doc_id", "text")
+    assert quality_classifier.training_texts(rows).count() == 700
+    total = sum(len(r["text"].encode()) for r in quality_classifier.training_texts(rows, 100_000).collect())
+    assert 50_000 < total <= 100_000 and quality_classifier.training_texts(rows, 10).count() == 0
+
+
 def test_later_models_see_out_of_fold_probabilities():
     rng = np.random.default_rng(4)
     n = 600
