@@ -135,6 +135,7 @@ def fit_fm(x: Sparse, y: np.ndarray, dims: int, rank: int, epochs: int = 6, rate
     rng = np.random.default_rng(seed)
     m = FM(0.0, np.zeros(dims, np.float32), (rng.standard_normal((dims, rank)) * 0.05).astype(np.float32))
     if not len(y):
+        m.v[:] = 0
         return m
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     m.bias = float(np.log(share / (1 - share)))
