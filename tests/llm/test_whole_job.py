@@ -101,6 +101,20 @@ def test_passages_behind_unlike_documents_are_found(spark):
     assert found >= 147  # 82 by the first search alone; in the other pairs one document found another partner first
 
 
+def test_places_that_have_a_partner_are_linked_to_others(spark):
+    """b is like a but unlike u, which comes first in the groups and is a's partner; the three are one group."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(120):
+        w = make_text(rng, 70).split()
+        texts = [[f"edit{i}x{k}x{e}" if k == e else x for k, x in enumerate(w)] for e in (25, None, 45)]
+        assert jaccard(shingles(" ".join(texts[0])), shingles(" ".join(texts[2]))) < 0.8 < jaccard(shingles(" ".join(w)), shingles(" ".join(texts[2])))
+        rows += [(d, " ".join([make_text(rng, 30), *x, make_text(rng, 30)])) for d, x in zip((i, 1000 + i, 2000 + i), texts, strict=True)]
+    got = passages.repeated_passages(frame(spark, rows)).collect()
+    group = {r[c]: r["group_id"] for r in got for c in ("doc_id", "other_id")}
+    assert sum(group.get(2000 + i) == group.get(1000 + i) == group.get(i) == i for i in range(120)) == 120
+
+
 def test_decontamination_keeps_rows_apart_over_several_blocks(spark):
     rng = random.Random(5)
     a, b = make_text(rng, 30), make_text(rng, 30)
