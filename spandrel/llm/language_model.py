@@ -15,10 +15,10 @@ every training document, however many there are.
 
 Model: id embeddings (singular vectors of the sketches of all training documents) and trained place embeddings, one
 causal attention over a window, a hidden layer, and a softmax over groups and one over the classes of a group.
-Training: the weights begin with a warm-up on the driver (documents of `WARM_BYTES` in all, the smallest by a hash of id
-and text); then every training document is read once: in each of ROUNDS rounds the gradient of all windows of one part
-of the documents (by the same hash) is summed over the cluster and one Adam step taken.  Nothing depends on how rows
-are dealt to partitions, but for the rounding of sums.
+Training: every training document is read once, none before or more often than others.  A hash of id and text deals the
+documents into shards of about SHARD_BYTES, each for one of ROUNDS rounds; in a round every shard takes Adam steps over
+its windows from the round's common weights, and the mean of the shards' weights and moments, by their targets, is the
+next round's beginning.  Nothing depends on how rows are dealt to partitions, but for the rounding of sums.
 
 Scoring: a text and its end are cut into windows of CONTEXT ids that were scored before and STEP that are scored now,
 so each id is scored once at most (those inside a known word need no score), in batches of masked windows.
@@ -41,12 +41,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import parse_ranks, public_vocabulary
-from .common import Words, materialize, mix64, scan_words, table
+from .common import Words, materialize, mix64, scan_words, table, trim
 from .quality_classifier import checksum
 
 CONTEXT, STEP = 8, 24
@@ -56,9 +57,9 @@ CLASSES = GROUPS * EACH
 BEGIN_GROUPS = 8
 BEGINNERS = BEGIN_GROUPS * EACH
 BINS = 32
-#: Bytes of the documents that the weights are warmed up with; one of them has an eighth at most.
-WARM_BYTES = 4_000_000
-ROUNDS, RATE = 6, 0.004
+#: Bytes of the training documents of a shard, windows of a step, and the rate at the beginning; it falls to a fifth.
+SHARD_BYTES, STEP_WINDOWS, RATE = 2_000_000, 96, 0.01
+ROUNDS = 6
 BATCH = 192
 HEAVY = 1 << 20
 DISCOUNT = 0.6
@@ -448,78 +449,68 @@ def with_hash(docs: DataFrame) -> DataFrame:
     return docs.withColumn("hash", F.xxhash64("doc_id", "text"))
 
 
-def warm_up(m: Attention, training: DataFrame, file: str, pattern: str, limit: int = WARM_BYTES) -> list[float]:
-    """On the driver, with the documents of the smallest hashes that have `limit` bytes together."""
-    some = with_hash(training).withColumn("size", F.octet_length("text")).where(F.col("size").between(1, limit // 8))
-    first = some.select("hash", "size").distinct().orderBy("hash").limit(limit // 1000).toArrow()
-    fits = np.cumsum(first["size"].to_numpy()) <= limit
-    if not fits.any():
-        return []
-    last = int(first["hash"].to_numpy()[fits][-1])
-    picked = some.where(F.col("hash") <= last).groupBy("hash").agg(F.min("text").alias("text")).toArrow().sort_by("hash")
-    s, opt = subwords(file, pattern), Adam(m.weights, 0.01)
-    rng = np.random.default_rng(6)
-    slices = [sequences(s, w) for w in scan_words(picked["text"].combine_chunks(), limit=300_000)]
-    losses = []
-    for k, (ids, start) in enumerate(slices):
+def local_steps(m: Attention, opt: Adam, texts: pa.Array, file: str, pattern: str, seed: int, begin: float, end: float) -> tuple[float, int]:
+    """Adam steps over all windows of the texts, in an order of their own; the loss and the number of targets."""
+    s, rng = subwords(file, pattern), np.random.default_rng(seed)
+    loss, seen, done, size = 0.0, 0, 0, max(int(pa.compute.sum(pa.compute.binary_length(texts)).as_py() or 0), 1)
+    for w in scan_words(texts, limit=SLICE_BYTES):
+        ids, start = sequences(s, w)
         row, at = cut_windows(start)
         order = rng.permutation(len(row))
-        opt.rate = 0.01 * (1 - 0.8 * k / len(slices))
-        for a in range(0, len(row), 48):
-            x, there, ahead, wanted = window_batch(ids, start, row[order[a : a + 48]], at[order[a : a + 48]])
-            g, loss, n = m.gradients(x, there, ids[ahead], wanted)
+        share = len(w.data) / size
+        for a in range(0, len(row), STEP_WINDOWS):
+            x, there, ahead, wanted = window_batch(ids, start, row[order[a : a + STEP_WINDOWS]], at[order[a : a + STEP_WINDOWS]])
+            g, own, n = m.gradients(x, there, ids[ahead], wanted)
+            opt.rate = RATE * (1 - 0.8 * (begin + (end - begin) * min(1.0, done + share * a / len(row))))
             opt.step(m.weights, {k: v / n for k, v in g.items()})
-            losses.append(loss / n)
-    return losses
+            loss, seen = loss + own, seen + n
+        done += share
+    return loss, seen
 
 
-def total_gradient(m: Attention, docs: DataFrame, file: str, pattern: str, chunk: int = 64) -> tuple[dict[str, np.ndarray], float, int]:
-    """Gradients, loss and number of targets, summed over all windows of the documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(m)
+def round_of_steps(m: Attention, opt: Adam, docs: DataFrame, file: str, pattern: str, begin: float, end: float, chunk: int = 64) -> tuple[float, int]:
+    """Steps of every `shard` of docs (shard, hash, text) from the same weights; their mean is put into m and opt."""
     names = sorted(m.weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, s = shared.value, subwords(file, pattern)
-        sums = {k: np.zeros(model.weights[k].shape) for k in names}
-        loss = seen = 0
-        for batch in batches:
-            for w in scan_words(batch.column(1), limit=SLICE_BYTES):
-                ids, start = sequences(s, w)
-                row, at = cut_windows(start)
-                for a in range(0, len(row), BATCH):
-                    x, there, ahead, wanted = window_batch(ids, start, row[a : a + BATCH], at[a : a + BATCH])
-                    g, own, n = model.gradients(x, there, ids[ahead], wanted)
-                    for k, v in g.items():
-                        sums[k] += v
-                    loss, seen = loss + own, seen + n
-        if seen:
-            flat = np.concatenate([*[sums[k].ravel() for k in names], [loss, seen]])
-            rows = -(-len(flat) // chunk)
-            flat = np.concatenate([flat, np.zeros(rows * chunk - len(flat))])
-            lists = pa.ListArray.from_arrays((np.arange(rows + 1) * chunk).astype(np.int32), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows, dtype=np.int32)), lists], names=["k", "v"])
-
-    found = docs.select("doc_id", "text").mapInArrow(run, "k int, v array<double>").groupBy("k").agg(F.array(*[F.sum(F.get("v", F.lit(j))) for j in range(chunk)]).alias("v"))
+    shared = docs.sparkSession.sparkContext.broadcast((m, opt))
+
+    def run(group: pa.Table) -> pa.Table:
+        model, before = shared.value
+        own = Attention({k: v.copy() for k, v in model.weights.items()}, model.emb, model.classes, model.share)
+        adam = Adam(own.weights, RATE)
+        adam.t, adam.m, adam.s = before.t, {k: v.copy() for k, v in before.m.items()}, {k: v.copy() for k, v in before.s.items()}
+        group = group.sort_by("hash")
+        loss, seen = local_steps(own, adam, group["text"].combine_chunks(), file, pattern, group["shard"][0].as_py(), begin, end)
+        flat = np.concatenate([*[x[k].ravel().astype(float) * seen for x in (own.weights, adam.m, adam.s) for k in names], [adam.t * seen, loss, seen]])
+        rows = -(-len(flat) // chunk)
+        flat = np.concatenate([flat, np.zeros(rows * chunk - len(flat))])
+        lists = pa.ListArray.from_arrays((np.arange(rows + 1) * chunk).astype(np.int32), pa.array(flat))
+        trim()
+        return pa.Table.from_arrays([pa.array(np.arange(rows, dtype=np.int32)), lists], names=["k", "v"])
+
+    found = docs.groupBy("shard").applyInArrow(run, "k int, v array<double>").groupBy("k").agg(F.array(*[F.sum(F.get("v", F.lit(j))) for j in range(chunk)]).alias("v"))
     got = found.toArrow().sort_by("k").combine_chunks()
     shared.unpersist()
     if not got.num_rows:
-        return {}, 0.0, 0
-    flat = got["v"].chunk(0).flatten().to_numpy()
-    out, a = {}, 0
-    for k in names:
-        out[k] = flat[a : a + m.weights[k].size].reshape(m.weights[k].shape).astype(np.float32)
-        a += m.weights[k].size
-    return out, float(flat[a]), int(flat[a + 1])
+        return 0.0, 0
+    flat, a = got["v"].chunk(0).flatten().to_numpy(), 0
+    loss, seen = flat[3 * sum(v.size for v in m.weights.values()) + 1 :][:2]
+    for x in (m.weights, opt.m, opt.s):
+        for k in names:
+            x[k][...] = (flat[a : a + x[k].size] / seen).reshape(x[k].shape)
+            a += x[k].size
+    opt.t = int(flat[a] / seen)
+    return float(loss), int(seen)
 
 
 def train(m: Attention, training: DataFrame, file: str, pattern: str, rounds: int = ROUNDS) -> list[float]:
-    """Every training document once: a step for each part of them, on the gradient of all its windows."""
+    """Every training document once, in shards that take their steps side by side; the loss of a target in each round."""
+    size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = rounds * max(1, -(-size // (rounds * SHARD_BYTES)))
+    docs = with_hash(training).select(F.pmod("hash", F.lit(shards)).alias("shard"), "hash", "text")
     opt, losses = Adam(m.weights, RATE), []
     for k in range(rounds):
-        g, loss, n = total_gradient(m, with_hash(training).where(F.pmod("hash", F.lit(rounds)) == k), file, pattern)
+        loss, n = round_of_steps(m, opt, docs.where(F.col("shard") % rounds == k), file, pattern, k / rounds, (k + 1) / rounds)
         if n:
-            opt.rate = RATE * (1 - k / rounds)
-            opt.step(m.weights, {name: v / n for name, v in g.items()})
             losses.append(loss / n)
     return losses
 
@@ -593,7 +584,6 @@ def language_model(docs: DataFrame, file: str, pattern: str) -> DataFrame:
     words = counts.where("kind = 0").select(F.col("a").alias("h"), F.col("b").alias("first"), F.col("n").alias("c")).where("c > 0")
     total, distinct_words = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     m = initial_model(counts, subwords(file, pattern).begins)
-    warm_up(m, training, file, pattern)
     train(m, training, file, pattern)
     out = scores(docs, m, words, total, distinct_words, file, pattern)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

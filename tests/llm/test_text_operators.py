@@ -424,6 +424,30 @@ def test_language_model_beats_the_base_on_held_out_text(spark):
     assert len(got) > 20 and sum(r["score"] for r in got) > 0.75 * sum(r["base_score"] for r in got)
 
 
+def test_language_model_takes_steps_on_every_training_document(spark, monkeypatch):
+    """No document is read before others or more often: the steps' targets are all ids of the training texts, once."""
+    import random
+
+    file, pattern = bpe.public_vocabulary()
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["red", "fox", "river", "hills"], k=30))) for i in range(300)]
+    training = frame(spark, rows).select("doc_id", "text")
+    monkeypatch.setattr(language_model, "SHARD_BYTES", 1500)  # several shards in a round
+    targets, losses, base = [], [], language_model.round_of_steps
+
+    def noted(*given):
+        loss, n = base(*given)
+        targets.append(n)
+        return loss, n
+
+    monkeypatch.setattr(language_model, "round_of_steps", noted)
+    counts = language_model.gather(training, file, pattern)
+    m = language_model.initial_model(counts, language_model.subwords(file, pattern).begins)
+    losses = language_model.train(m, training, file, pattern)
+    assert sum(targets) == sum(len(language_model.subwords(file, pattern).encoding.encode_ordinary(" " + t)) + 1 for _, t in rows)
+    assert len(losses) == language_model.ROUNDS and losses[-1] < losses[0]
+
+
 # ---------------------------------------------------------------- quality rules
 
 
