@@ -1,10 +1,11 @@
 """Near copies: the interface of SimHash near-dedup for a similarity instead of a number of bits (the pipeline's stage).
 
-Documents are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more.  A Hamming radius
-around SimHash fingerprints that covers 0.8 is about 16 of 64 bits; no triangle bound prunes that, so vantage-point
-trees would compare all pairs.  Candidates come from MinHash instead: BANDS keys of ROWS minima each; two sets of
-similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS, which is 0.9998 at 0.8 and 1 - 1e-7 at 0.9.  Every
-candidate is verified on the whole sets (32 bits of each shingle).
+Documents are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more.  SimHash comes
+first: fingerprints of the shingles and operator 8's vantage-point trees give candidates within MAX_BITS.  A Hamming
+radius that covers 0.8 is about 16 of 64 bits; no triangle bound prunes that, so trees would compare all pairs.  What the
+radius doesn't cover comes from MinHash: BANDS keys of ROWS minima each; two sets of similarity s share a key with
+probability 1 - (1 - s^ROWS)^BANDS, which is 0.9998 at 0.8 and 1 - 1e-7 at 0.9.  Every candidate is verified on the
+whole sets (32 bits of each shingle).
 
 Documents with equal shingles, repeats included, are one entry.  In each bucket the members are compared with one of
 them, the one that shares most keys with others (the original of edited copies); in buckets of several components, then
@@ -28,10 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import fresh, gram_hash, materialize, mix64, scan_words, segment_sum, trim
 from .components import connected_components
+from .simhash import fingerprints_of
+from .simhash import near_links as fingerprint_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
+#: Bits by which fingerprints of the first candidates differ at most.
+MAX_BITS = 2
 #: Rounds in which buckets are compared with a few members, before the rest meets by the prefix filter.
 STARS = 2
 _SEEDS = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
@@ -71,7 +76,7 @@ def bands_of(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _scan(docs: DataFrame, shingle: int, make, schema: str, *columns: str) -> DataFrame:
+def _scan(docs: DataFrame, shingle: int, make, schema: str, *columns: str, prints: bool = False) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +84,8 @@ def _scan(docs: DataFrame, shingle: int, make, schema: str, *columns: str) -> Da
             for w in scan_words(batch.column(batch.num_columns - 1)):
                 h, first = shingles_of(w, shingle)
                 own = [batch.column(k).slice(w.lo, w.n_rows) for k in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(entries_of(h, first)), make(h, first)], names=names)
+                fp = [pa.array(fingerprints_of(w, shingle).view(np.int64))] if prints else []
+                yield pa.RecordBatch.from_arrays([*own, pa.array(entries_of(h, first)), *fp, make(h, first)], names=names)
         trim()
 
     text = F.col("text").cast("string").alias("text")
@@ -87,13 +93,13 @@ def _scan(docs: DataFrame, shingle: int, make, schema: str, *columns: str) -> Da
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, e, bands): the entry of each document and its keys."""
+    """(doc_id, e, fp, bands): the entry of each document, its fingerprint and its keys."""
 
     def make(h: np.ndarray, first: np.ndarray) -> pa.Array:
         ends = np.concatenate([[0], np.cumsum(np.diff(first) > 0)]) * BANDS
         return pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(bands_of(h, first).ravel()))
 
-    return _scan(docs, shingle, make, "doc_id long, e long, bands array<long>", "doc_id")
+    return _scan(docs, shingle, make, "doc_id long, e long, fp long, bands array<long>", "doc_id", prints=True)
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -129,15 +135,33 @@ def prefix_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return met[0].unionByName(met[1]).distinct()
 
 
+def fingerprint_pairs(entries: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs (e, o) of entries whose fingerprints lie near each other: with the first entry of a fingerprint, and of first entries."""
+    firsts = materialize(entries.groupBy("fp").agg(F.min("e").alias("o")))
+    same = entries.join(firsts, "fp").where("e != o").select("e", "o")
+    name = lambda c, e: firsts.select(F.col("fp").alias(c), F.col("o").alias(e))
+    near = fingerprint_links(firsts.select("fp"), max_bits).join(name("u", "e"), "u").join(name("v", "o"), "v").select("e", "o")
+    return materialize(same.unionByName(near).distinct())
+
+
 def near_links(docs: DataFrame, entries: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Links (u, v) between entries of `similarity` or more, enough to span every component."""
     keys = entries.select("e", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = materialize(keys.join(shared, "key"))
     wanted = materialize(buckets.groupBy("e").agg(F.sum("n").alias("degree")))
-    sets = materialize(shingle_sets(docs, shingle).join(wanted.select("e"), "e", "left_semi").groupBy("e").agg(F.first("s").alias("s")))
+    close = fingerprint_pairs(entries)
+    used = wanted.select("e").unionByName(close.select("e")).unionByName(close.select(F.col("o").alias("e"))).distinct()
+    sets = materialize(shingle_sets(docs, shingle).join(used, "e", "left_semi").groupBy("e").agg(F.first("s").alias("s")))
     buckets = materialize(buckets.join(wanted, "e").select("key", "e", "degree"))
-    links = None
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("e", "o").alias("u"), F.greatest("e", "o").alias("v")).distinct()
+        both = pairs.join(sets.select(F.col("e").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("e").alias("v"), F.col("s").alias("b")), "v")
+        common = F.size(F.array_intersect("a", "b"))
+        return materialize(both.where(common / (F.size("a") + F.size("b") - common) >= similarity).select("u", "v"))
+
+    links = verified(close)
     for turn in range(STARS + 1):
         members = buckets.withColumn("root", F.col("e"))
         if turn:
@@ -156,18 +180,14 @@ def near_links(docs: DataFrame, entries: DataFrame, shingle: int = SHINGLE, simi
         else:
             rest = materialize(members.groupBy("e").agg(F.first("root").alias("root")))
             pairs = prefix_pairs(sets.join(rest, "e"), similarity)
-        pairs = pairs.select(F.least("e", "o").alias("u"), F.greatest("e", "o").alias("v")).distinct()
-        both = pairs.join(sets.select(F.col("e").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("e").alias("v"), F.col("s").alias("b")), "v")
-        common = F.size(F.array_intersect("a", "b"))
-        new = materialize(both.where(common / (F.size("a") + F.size("b") - common) >= similarity).select("u", "v"))
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(verified(pairs))
     return links
 
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id): documents linked, over any number of steps, by shingle sets of `similarity` or more."""
     found = materialize(sketches(docs, shingle))
-    entries = materialize(found.groupBy("e").agg(F.min(F.struct("doc_id")).alias("low"), F.first("bands").alias("bands")))
+    entries = materialize(found.groupBy("e").agg(F.min(F.struct("doc_id")).alias("low"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     roots = materialize(connected_components(near_links(docs, entries, shingle, similarity)))
     named = entries.join(roots, entries["e"] == roots["u"], "left").select("e", "low", F.coalesce("root", "e").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low")["doc_id"].alias("component_id"))

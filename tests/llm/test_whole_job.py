@@ -166,3 +166,20 @@ def test_near_copies_of_a_group_without_an_original(spark):
     tokens = [(i, i % 3, sorted(hash(x) % 2**31 for x in s)) for i, s in enumerate(sets)]
     pairs = {frozenset((r["e"], r["o"])) for r in near_copies.prefix_pairs(spark.createDataFrame(tokens, "e long, root long, s array<int>")).collect()}
     assert {frozenset(x) for x in links if x[0] % 3 != x[1] % 3} <= pairs and len(pairs) < 250 * 249 / 4
+
+
+def test_near_copies_have_their_first_candidates_from_fingerprints(spark):
+    """SimHash is a step of the stage: its pairs are found without any MinHash key, and what lies further off still links."""
+    rng = random.Random(41)
+    rows = []
+    for i in range(60):
+        text = make_text(rng, 400)
+        rows += [(i, text), (100 + i, text + " end"), (200 + i, edited(rng, text, 6))]
+    found = near_copies.sketches(frame(spark, rows)).collect()
+    entry, prints = {r["doc_id"]: r["e"] for r in found}, {r["doc_id"]: r["fp"] for r in found}
+    want = {frozenset((entry[i], entry[100 + i])) for i in range(60) if ((prints[i] ^ prints[100 + i]) & (2**64 - 1)).bit_count() <= near_copies.MAX_BITS}
+    entries = spark.createDataFrame([(r["e"], r["fp"]) for r in found], "e long, fp long")
+    got = {frozenset((r["e"], r["o"])) for r in near_copies.fingerprint_pairs(entries).collect()}
+    assert len(want) >= 50 and want <= got
+    groups = {r["doc_id"]: r["component_id"] for r in near_copies.near_components(frame(spark, rows)).collect()}
+    assert groups == {d: d % 100 for d, _ in rows}
