@@ -35,7 +35,7 @@ ignored.
 
 from __future__ import annotations
 
-import itertools
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -95,22 +95,21 @@ class Subwords:
         self.end = max(ranks.values()) + 1
         self.begins = np.zeros(self.end + 1, bool)
         self.begins[[i for b, i in ranks.items() if b[:1] == b" "]] = True
-        self.known: dict[int, list[int]] = {}
+        self.known: dict[int, bytes] = {}
 
     def entries(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct word hashes, each word's place there, and the distinct words' ids: one after another, with the bounds."""
         values, at, of = distinct(w.hash)
         if len(self.known) > MEMORY:
             self.known.clear()
-        lists, known = [], self.known
-        for h, a, b in zip(values.tolist(), w.start[at].tolist(), w.end[at].tolist(), strict=True):
-            got = known.get(h)
-            if got is None:
-                got = known[h] = self.encoding.encode_ordinary(" " + w.data[a:b].tobytes().decode("utf-8", "replace"))
-            lists.append(got)
-        bounds = np.zeros(len(lists) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)), out=bounds[1:])
-        return values, of, np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(bounds[-1])), bounds
+        known, hashes = self.known, values.tolist()
+        found = list(map(known.get, hashes))
+        for i in [i for i, x in enumerate(found) if x is None]:
+            word = w.data[w.start[at[i]] : w.end[at[i]]].tobytes().decode("utf-8", "replace")
+            found[i] = known[hashes[i]] = array("i", self.encoding.encode_ordinary(" " + word)).tobytes()
+        bounds = np.zeros(len(found) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4, out=bounds[1:])
+        return values, of, np.frombuffer(b"".join(found), np.int32), bounds
 
     def ids(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all words one after another, where each word begins (and the end); distinct hashes with each word's place there."""
@@ -155,13 +154,16 @@ def _exp(x: np.ndarray) -> np.ndarray:
     return np.exp(x, out=x)
 
 
-def by_group(g: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The places of each group that occurs."""
+def row_sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, as a product, which is faster than a reduction of short rows."""
+    return x @ np.ones(x.shape[-1], x.dtype)
+
+
+def by_group(g: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by group, and (group, from, to) in it of each that occurs."""
     order = np.argsort(g.astype(np.uint8), kind="stable")
-    bounds = np.searchsorted(g[order], np.arange(GROUPS + 1))
-    for k in range(GROUPS):
-        if bounds[k + 1] > bounds[k]:
-            yield k, order[bounds[k] : bounds[k + 1]]
+    bounds = np.searchsorted(g[order], np.arange(GROUPS + 1)).tolist()
+    return order, [(k, bounds[k], bounds[k + 1]) for k in range(GROUPS) if bounds[k + 1] > bounds[k]]
 
 
 _OPEN = (np.arange(CONTEXT + STEP)[None, :] <= CONTEXT + np.arange(STEP)[:, None]).astype(np.float32)
@@ -179,74 +181,92 @@ class Attention:
     def forward(self, ids: np.ndarray, there: np.ndarray) -> dict[str, np.ndarray]:
         """ids, there: windows x (CONTEXT + STEP) inputs and which of them exist."""
         p = self.weights
-        x = self.emb[ids] + p["pos"]
+        x = self.emb.take(ids, axis=0).astype(p["pos"].dtype, copy=False)
+        x += p["pos"]
         kv = (x.reshape(-1, WIDTH) @ np.concatenate([p["k"], p["v"]], axis=1)).reshape(*ids.shape, 2 * WIDTH)
         xq = np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, WIDTH)
-        qh = xq @ np.concatenate([p["q"], p["w1"][:WIDTH]], axis=1)
-        q = np.ascontiguousarray(qh[:, :WIDTH]).reshape(len(ids), STEP, WIDTH)
-        a = _exp(q @ kv[:, :, :WIDTH].transpose(0, 2, 1))
+        q = (xq @ p["q"]).reshape(len(ids), STEP, WIDTH)
+        a = _exp(q @ np.ascontiguousarray(kv[:, :, :WIDTH].transpose(0, 2, 1)))
         a *= _OPEN
         if not there.all():
-            a *= there[:, None, :]
-        a /= a.sum(axis=2, keepdims=True)
+            a *= there.astype(np.float32)[:, None, :]
+        a /= row_sums(a)[:, :, None]
         o = (a @ kv[:, :, WIDTH:]).reshape(-1, WIDTH)
-        z = o @ p["w1"][WIDTH:]
-        z += qh[:, WIDTH:]
+        return {"x": x, "xq": xq, "q": q, "k": kv[:, :, :WIDTH], "v": kv[:, :, WIDTH:], "a": a, "o": o}
+
+    def hidden(self, f: dict[str, np.ndarray], use: np.ndarray) -> np.ndarray:
+        """The hidden layer at some of the places, after `forward`."""
+        p = self.weights
+        z = f["xq"].take(use, axis=0) @ p["w1"][:WIDTH]
+        z += f["o"].take(use, axis=0) @ p["w1"][WIDTH:]
         z += p["b1"]
-        np.maximum(z, 0, out=z)
-        return {"x": x, "xq": xq, "q": q, "k": kv[:, :, :WIDTH], "v": kv[:, :, WIDTH:], "a": a, "o": o, "z": z}
+        return np.maximum(z, 0, out=z)
+
+    def heads(self, z: np.ndarray, groups: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Both softmaxes beside each other, not yet divided by their sums, for rows in order of their groups; and the weights by group."""
+        p = self.weights
+        w = np.concatenate([np.broadcast_to(p["w2"], (GROUPS, HIDDEN, GROUPS)), p["u"]], axis=2)
+        bias = np.concatenate([np.broadcast_to(p["b2"], (GROUPS, GROUPS)), p["c"]], axis=1)
+        e = np.empty((len(z), GROUPS + EACH), z.dtype)
+        for k, a, b in groups:
+            np.matmul(z[a:b], w[k], out=e[a:b])
+            e[a:b] += bias[k]
+        return _exp(e), w
 
     def log10(self, ids: np.ndarray, there: np.ndarray, target: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probabilities of each wanted target's class and of any class that begins a word or ends the text, in order."""
-        p = self.weights
-        z = self.forward(ids, there)["z"][wanted.ravel()]
-        y = self.classes[target[wanted]]
-        e = _exp(z @ p["w2"] + p["b2"])
-        total = e.sum(axis=1)
-        g, j = y // EACH, y % EACH
-        own = e[np.arange(len(y)), g] / total
-        for k, at in by_group(g):
-            f = _exp(z[at] @ p["u"][k] + p["c"][k])
-            own[at] *= f[np.arange(len(at)), j[at]] / f.sum(axis=1)
-        return np.log10(np.maximum(own, 1e-37)), np.log10(np.maximum(e[:, :BEGIN_GROUPS].sum(axis=1) / total, 1e-37))
+        use = np.flatnonzero(wanted.ravel())
+        y = self.classes.take(target.ravel().take(use))
+        order, groups = by_group(y // EACH)
+        e, _ = self.heads(self.hidden(self.forward(ids, there), use.take(order)), groups)
+        y, rows = y.take(order), np.arange(len(y))
+        total = row_sums(e[:, :GROUPS])
+        own, begin = np.empty((2, len(y)), np.float32)
+        own[order] = e[rows, y // EACH] / total * e[rows, GROUPS + y % EACH] / row_sums(e[:, GROUPS:])
+        begin[order] = row_sums(e[:, :BEGIN_GROUPS]) / total
+        return np.log10(np.maximum(own, 1e-37)), np.log10(np.maximum(begin, 1e-37))
 
     def gradients(self, ids: np.ndarray, there: np.ndarray, target: np.ndarray, wanted: np.ndarray) -> tuple[dict[str, np.ndarray], float, int]:
         """Of the summed cross entropy over the wanted targets, that sum, and their number."""
         p, f = self.weights, self.forward(ids, there)
         use = np.flatnonzero(wanted.ravel())
-        z = f["z"][use]
-        y = self.classes[target.ravel()[use]]
-        g, j = y // EACH, y % EACH
-        rows = np.arange(len(y))
-        d = _exp(z @ p["w2"] + p["b2"])
-        d /= d.sum(axis=1, keepdims=True)
-        loss = -float(np.log(np.maximum(d[rows, g], 1e-30)).sum())
-        d[rows, g] -= 1
-        out = {"w2": z.T @ d, "b2": d.sum(axis=0), "u": np.zeros_like(p["u"]), "c": np.zeros_like(p["c"])}
-        dz_use = d @ p["w2"].T
-        for k, at in by_group(g):
-            d = _exp(z[at] @ p["u"][k] + p["c"][k])
-            d /= d.sum(axis=1, keepdims=True)
-            loss -= float(np.log(np.maximum(d[np.arange(len(at)), j[at]], 1e-30)).sum())
-            d[np.arange(len(at)), j[at]] -= 1
-            out["u"][k], out["c"][k] = z[at].T @ d, d.sum(axis=0)
-            dz_use[at] += d @ p["u"][k].T
-        dz_use *= z > 0
-        dz = np.zeros_like(f["z"])
+        y = self.classes.take(target.ravel().take(use))
+        order, groups = by_group(y // EACH)
+        use, y, rows = use.take(order), y.take(order), np.arange(len(y))
+        z = self.hidden(f, use)
+        d, w = self.heads(z, groups)
+        d[:, :GROUPS] /= row_sums(d[:, :GROUPS])[:, None]
+        d[:, GROUPS:] /= row_sums(d[:, GROUPS:])[:, None]
+        of, member = y // EACH, GROUPS + y % EACH
+        loss = -float(np.log(np.maximum(d[rows, of], 1e-30)).sum()) - float(np.log(np.maximum(d[rows, member], 1e-30)).sum())
+        d[rows, of] -= 1
+        d[rows, member] -= 1
+        out = {"w2": np.zeros_like(p["w2"]), "b2": np.zeros_like(p["b2"]), "u": np.zeros_like(p["u"]), "c": np.zeros_like(p["c"])}
+        dz_use, ones = np.empty_like(z), np.ones(max(len(y), ids.size), z.dtype)
+        for k, a, b in groups:
+            g, s = z[a:b].T @ d[a:b], ones[: b - a] @ d[a:b]
+            out["w2"] += g[:, :GROUPS]
+            out["u"][k] = g[:, GROUPS:]
+            out["b2"] += s[:GROUPS]
+            out["c"][k] = s[GROUPS:]
+            np.matmul(d[a:b], w[k].T, out=dz_use[a:b])
+        dz_use *= np.sign(z)
+        dz = np.zeros((len(f["o"]), HIDDEN), z.dtype)
         dz[use] = dz_use
-        out["w1"], out["b1"] = np.concatenate([f["xq"].T @ dz, f["o"].T @ dz]), dz.sum(axis=0)
+        out["w1"], out["b1"] = np.concatenate([f["xq"], f["o"]], axis=1).T @ dz, ones[: len(dz)] @ dz
         do = dz @ p["w1"][WIDTH:].T
-        mean = (do * f["o"]).sum(axis=1).reshape(len(ids), STEP, 1)
+        mean = np.einsum("ij,ij->i", do, f["o"]).reshape(len(ids), STEP, 1)
         do = do.reshape(len(ids), STEP, WIDTH)
-        ds = do @ f["v"].transpose(0, 2, 1)
+        ds = do @ np.ascontiguousarray(f["v"].transpose(0, 2, 1))
         ds -= mean
         ds *= f["a"]
         dq, dk, dv = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"], f["a"].transpose(0, 2, 1) @ do
         flat = lambda t: t.reshape(-1, WIDTH)
-        x = flat(f["x"])
-        out["q"], out["k"], out["v"] = f["xq"].T @ flat(dq), x.T @ flat(dk), x.T @ flat(dv)
-        out["pos"] = dk.sum(axis=0) @ p["k"].T + dv.sum(axis=0) @ p["v"].T
-        out["pos"][CONTEXT:] += dq.sum(axis=0) @ p["q"].T + dz.reshape(len(ids), STEP, HIDDEN).sum(axis=0) @ p["w1"][:WIDTH].T
+        over = lambda t, n: (ones[: len(ids)] @ t.reshape(len(ids), -1)).reshape(-1, n)
+        dkv = flat(f["x"]).T @ np.concatenate([flat(dk), flat(dv)], axis=1)
+        out["q"], out["k"], out["v"] = f["xq"].T @ flat(dq), dkv[:, :WIDTH], dkv[:, WIDTH:]
+        out["pos"] = over(dk, WIDTH) @ p["k"].T + over(dv, WIDTH) @ p["v"].T
+        out["pos"][CONTEXT:] += over(dq, WIDTH) @ p["q"].T + over(dz, HIDDEN) @ p["w1"][:WIDTH].T
         return out, loss, len(use)
 
 
@@ -259,17 +279,41 @@ def first_weights(rng: np.random.Generator, mass: np.ndarray) -> dict[str, np.nd
 
 
 class Adam:
+    """Moments of all weights in one row each, `m` and `s` are views of them."""
+
     def __init__(self, weights: dict[str, np.ndarray], rate: float):
         self.rate, self.t = rate, 0
-        self.m = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.s = {k: np.zeros_like(v) for k, v in weights.items()}
-
-    def step(self, weights: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> None:
+        self.names = list(weights)
+        self.moments = np.zeros((2, sum(v.size for v in weights.values())), np.float32)
+        parts = [np.split(x, np.cumsum([v.size for v in weights.values()])[:-1]) for x in self.moments]
+        self.m, self.s = ({k: x.reshape(v.shape) for (k, v), x in zip(weights.items(), part, strict=True)} for part in parts)
+
+    def copy(self) -> Adam:
+        """Another one with the same moments (views don't survive pickling)."""
+        out = Adam(self.m, self.rate)
+        out.t = self.t
+        for k in self.names:
+            out.m[k][...], out.s[k][...] = self.m[k], self.s[k]
+        return out
+
+    def step(self, weights: dict[str, np.ndarray], g: dict[str, np.ndarray], n: int = 1) -> None:
+        """g: sums over n targets."""
         self.t += 1
-        for k, v in g.items():
-            self.m[k] += 0.1 * (v - self.m[k])
-            self.s[k] += 0.005 * (v * v - self.s[k])
-            weights[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.995**self.t)) + 1e-8)
+        flat = np.concatenate([g[k].ravel() for k in self.names])
+        flat /= n
+        m, s = self.moments
+        m += 0.1 * (flat - m)
+        flat *= flat
+        s += 0.005 * (flat - s)
+        by = np.sqrt(s / (1 - 0.995**self.t))
+        by += 1e-8
+        np.divide(m, by, out=by)
+        by *= self.rate / (1 - 0.9**self.t)
+        a = 0
+        for k in self.names:
+            v = weights[k]
+            v -= by[a : a + v.size].reshape(v.shape)
+            a += v.size
 
 
 def cut_windows(start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +331,7 @@ def window_batch(ids: np.ndarray, start: np.ndarray, row: np.ndarray, at: np.nda
     there = (place >= lo) & (place < hi)
     ahead = place[:, CONTEXT:] + 1
     wanted = ahead <= hi
-    return ids[np.clip(place, 0, len(ids) - 1)], there, np.minimum(ahead, len(ids) - 1), wanted
+    return ids.take(place, mode="clip"), there, np.minimum(ahead, len(ids) - 1), wanted
 
 
 def predict(m: Attention, ids: np.ndarray, start: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,9 +340,10 @@ def predict(m: Attention, ids: np.ndarray, start: np.ndarray, need: np.ndarray)
     own, begin = np.zeros(len(ids)), np.zeros(len(ids))
     for a in range(0, len(row), BATCH):
         x, there, ahead, wanted = window_batch(ids, start, row[a : a + BATCH], at[a : a + BATCH])
-        wanted &= need[ahead]
-        p, q = m.log10(x, there, ids[ahead], wanted)
-        own[ahead[wanted]], begin[ahead[wanted]] = p, q
+        wanted &= need.take(ahead)
+        p, q = m.log10(x, there, ids.take(ahead), wanted)
+        places = ahead[wanted]
+        own[places], begin[places] = p, q
     return own, begin
 
 
@@ -459,10 +504,11 @@ def local_steps(m: Attention, opt: Adam, texts: pa.Array, file: str, pattern: st
         order = rng.permutation(len(row))
         share = len(w.data) / size
         for a in range(0, len(row), STEP_WINDOWS):
-            x, there, ahead, wanted = window_batch(ids, start, row[order[a : a + STEP_WINDOWS]], at[order[a : a + STEP_WINDOWS]])
-            g, own, n = m.gradients(x, there, ids[ahead], wanted)
+            some = order[a : a + STEP_WINDOWS]
+            x, there, ahead, wanted = window_batch(ids, start, row[some], at[some])
+            g, own, n = m.gradients(x, there, ids.take(ahead), wanted)
             opt.rate = RATE * (1 - 0.8 * (begin + (end - begin) * min(1.0, done + share * a / len(row))))
-            opt.step(m.weights, {k: v / n for k, v in g.items()})
+            opt.step(m.weights, g, n)
             loss, seen = loss + own, seen + n
         done += share
     return loss, seen
@@ -476,8 +522,7 @@ def round_of_steps(m: Attention, opt: Adam, docs: DataFrame, file: str, pattern:
     def run(group: pa.Table) -> pa.Table:
         model, before = shared.value
         own = Attention({k: v.copy() for k, v in model.weights.items()}, model.emb, model.classes, model.share)
-        adam = Adam(own.weights, RATE)
-        adam.t, adam.m, adam.s = before.t, {k: v.copy() for k, v in before.m.items()}, {k: v.copy() for k, v in before.s.items()}
+        adam = before.copy()
         group = group.sort_by("hash")
         loss, seen = local_steps(own, adam, group["text"].combine_chunks(), file, pattern, group["shard"][0].as_py(), begin, end)
         flat = np.concatenate([*[x[k].ravel().astype(float) * seen for x in (own.weights, adam.m, adam.s) for k in names], [adam.t * seen, loss, seen]])

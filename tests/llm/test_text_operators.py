@@ -2,6 +2,7 @@ import base64
 import collections
 import hashlib
 import math
+import pickle
 import re
 import zlib
 
@@ -494,3 +495,22 @@ def test_mcd_is_robust_and_matches_numpy(spark):
 def test_chi_square_quantiles():
     assert abs(quality_rules.chi2_quantile(0.95, 6) - 12.5916) < 1e-3
     assert abs(quality_rules.chi2_quantile(0.999, 2) - 13.8155) < 1e-3
+
+
+def test_language_model_steps_take_sums_and_equal_plain_adam():
+    rng = np.random.default_rng(6)
+    weights = {"a": rng.standard_normal((3, 4)).astype(np.float32), "b": rng.standard_normal(5).astype(np.float32)}
+    plain = {k: v.astype(float) for k, v in weights.items()}
+    m, s = ({k: np.zeros_like(v) for k, v in plain.items()} for _ in range(2))
+    adam = language_model.Adam(weights, 0.03)
+    for t in range(1, 6):
+        g = {k: rng.standard_normal(v.shape).astype(np.float32) for k, v in weights.items()}
+        adam = pickle.loads(pickle.dumps(adam)).copy()  # as in a round: moments come by broadcast
+        adam.step(weights, g, 7)
+        for k, v in g.items():
+            m[k] = 0.9 * m[k] + 0.1 * (v / 7)
+            s[k] = 0.995 * s[k] + 0.005 * (v / 7) ** 2
+            plain[k] -= 0.03 * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.995**t)) + 1e-8)
+    for k in weights:
+        assert weights[k] == pytest.approx(plain[k], abs=1e-5)
+        assert adam.m[k] == pytest.approx(m[k], abs=1e-6) and adam.m[k].base is not None
