@@ -1,10 +1,11 @@
 """Places where an operator once did less than the whole job."""
 
 import collections
+import pathlib
 import random
 
 import corpus_pipeline
-from spandrel.llm import decontamination, near_copies, passages, quality_rules
+from spandrel.llm import common, decontamination, near_copies, passages, quality_rules
 
 from .conftest import frame, make_text
 from .test_text_operators import brute_hits
@@ -183,3 +184,18 @@ def test_near_copies_have_their_first_candidates_from_fingerprints(spark):
     assert len(want) >= 50 and want <= got
     groups = {r["doc_id"]: r["component_id"] for r in near_copies.near_components(frame(spark, rows)).collect()}
     assert groups == {d: d % 100 for d, _ in rows}
+
+
+def test_passages_delete_the_tables_of_earlier_steps(spark):
+    """Windows, texts of spans and tokens of places, the large tables, don't stay until the session ends."""
+    rng = random.Random(43)
+    rows = []
+    for i in range(20):
+        w = make_text(rng, 70).split()
+        texts = [[f"edit{i}x{k}x{e}" if k == e else x for k, x in enumerate(w)] for e in (25, None, 45)]
+        rows += [(d, " ".join([make_text(rng, 30), *x, make_text(rng, 30)])) for d, x in zip((i, 1000 + i, 2000 + i), texts, strict=True)]
+    folder = pathlib.Path(common.ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("table-*"))
+    assert len({r["group_id"] for r in passages.repeated_passages(frame(spark, rows)).collect()}) == 20
+    left = [set(spark.read.parquet(str(x)).columns) for x in set(folder.glob("table-*")) - before]
+    assert left and not [x for x in left if x & {"low", "tokens", "near", "lr"}]
